@@ -7,9 +7,10 @@ shingles it has; the earliest dart of each of k coordinates is its signature. Tw
 coordinate with the probability of their weighted Jaccard similarity. Bands of coordinates are joined.
 
 Texts of the same words are one node from the start, so groups of copies cost one row. In a band's
-bucket, small groups are compared pair by pair. In large ones every member is compared with the two
-members at either end of a fixed order; members that match neither go on among themselves, round
-by round. So no bucket emits its square, and no bucket is cut. Links are confirmed on the shingle sets
+bucket, small groups are compared pair by pair. In large ones every member is compared with the
+member that shares most of its buckets with most others, the likely origin of edited copies. Members
+that don't match it go on among themselves,
+round by round, and what is left in the end is compared in blocks that put out links only. So no bucket emits its square, and no bucket is cut. Links are confirmed on the shingle sets
 themselves and joined to classes by spreading the smallest label.
 """
 
@@ -30,9 +31,11 @@ WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 32, 6
 #: Buckets up to this size are compared pair by pair.
-SMALL = 12
-#: After so many rounds the rest of a large bucket is compared pair by pair as well.
-ROUNDS = 5
+SMALL = 4
+#: After so many rounds the rest of a bucket is compared in blocks.
+ROUNDS = 3
+#: Members of a bucket that a block holds.
+BLOCK = 128
 
 _WORD = re.compile(r"\w+")
 _known: dict[str, bytes] = {}
@@ -188,34 +191,66 @@ def _all_pairs(rows: DataFrame) -> DataFrame:
     return members.select(F.explode(F.flatten(nested)).alias("p")).select("p.a", "p.b")
 
 
+def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
+    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
+    return materialise(map_arrow(both, _confirm(similarity), "a binary, b binary"), "links")
+
+
+def _links_in_blocks(sized: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links among the members of buckets (bucket, node, n): each pair of blocks of a bucket is a group of bounded size."""
+    blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
+    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
+    dealt = sized.select("bucket", "node", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    dealt = dealt.join(sets, "node").select("bucket", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "node", "shingles")
+
+    def run(group: pa.Table) -> pa.Table:
+        owns = np.array(group.column("own"))
+        nodes, sets_ = group.column("node").to_pylist(), [np.frombuffer(x, "<u4") for x in group.column("shingles").to_pylist()]
+        a, b = [], []
+        first, second = np.flatnonzero(owns == owns.min()), np.flatnonzero(owns == owns.max())
+        if group.column("p")[0].as_py() != group.column("q")[0].as_py() and len(first) == len(owns):
+            second = second[:0]  # the other block of this pair is empty
+        if len(second):
+            flat = np.concatenate([sets_[j] for j in second])
+            lengths = np.array([len(sets_[j]) for j in second])
+            starts = np.cumsum(lengths) - lengths
+            values, place = np.unique(flat, return_inverse=True)
+            for i in first:
+                mark = np.isin(values, sets_[i], assume_unique=False)
+                shared = np.add.reduceat(mark[place].astype(np.int64), starts)
+                close = shared >= similarity * (lengths + len(sets_[i]) - shared)
+                for j in second[close]:
+                    if nodes[i] != nodes[j]:
+                        a.append(min(nodes[i], nodes[j]))
+                        b.append(max(nodes[i], nodes[j]))
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+
+    return dealt.groupBy("bucket", "p", "q").applyInArrow(run, "a binary, b binary").distinct()
+
+
 def _links(rows: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Confirmed pairs (a, b) of nodes that share a bucket of ``rows`` (bucket, node)."""
-    spark = rows.sparkSession
+    sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    crowd = materialise(rows.join(sizes, "bucket").groupBy("node").agg(F.sum("n").alias("crowd")), "crowd")
+    rows = materialise(rows.join(crowd, "node"), "buckets")
     confirmed = None
     for number in range(ROUNDS + 1):
-        size = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("low"), F.max("node").alias("high")).where(F.col("n") > 1)
-        # the first time the buckets of one are dropped as well
-        sized = materialise(rows.join(size, "bucket"), "buckets")
-        last = number == ROUNDS
-        pairs = _all_pairs(sized if last else sized.where(F.col("n") <= SMALL).select("bucket", "node"))
-        large = sized.where(F.col("n") > SMALL)
-        if not last:
-            spokes = large.select("node", F.explode(F.array("low", "high")).alias("end")).where(F.col("node") != F.col("end"))
-            pairs = pairs.union(spokes.select(*_ordered("node", "end")))
-        pairs = pairs.distinct()
+        size = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("crowd", "node"))["node"].alias("hub")).where(F.col("n") > 1)
+        sized = materialise(rows.join(size, "bucket"), "sized")
+        if number == ROUNDS:
+            confirmed = confirmed.union(materialise(_links_in_blocks(sized, sets, similarity), "links"))
+            break
+        pairs = _all_pairs(sized.where(F.col("n") <= SMALL))
+        spokes = sized.where((F.col("n") > SMALL) & (F.col("node") != F.col("hub"))).select("bucket", "node", "crowd", *_ordered("node", "hub"))
+        pairs = pairs.union(spokes.select("a", "b"))
         left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
         right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-        both = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
+        both = pairs.distinct().join(left, "a").join(right, "b").select("a", "b", "x", "y")
         found = materialise(map_arrow(both, _confirm(similarity), "a binary, b binary"), "links")
         confirmed = found if confirmed is None else confirmed.union(found)
-        if last or large.isEmpty():
-            break
-        ends = large.select("bucket", "node", F.explode(F.array("low", "high")).alias("end")).where(F.col("node") != F.col("end"))
-        tried = ends.select("bucket", "node", *_ordered("node", "end"))
-        met = tried.join(found, ["a", "b"]).select("bucket", "node")
-        # ends have met all others of their bucket; members that match an end are linked by it
-        done = met.union(large.groupBy("bucket").agg(F.first("low").alias("low"), F.first("high").alias("high")).select("bucket", F.explode(F.array("low", "high")).alias("node"))).distinct()
-        rows = materialise(large.select("bucket", "node").join(done, ["bucket", "node"], "left_anti"), "rest")
+        rows = materialise(spokes.join(found, ["a", "b"], "left_anti").select("bucket", "node", "crowd"), "rest")
         if rows.isEmpty():
             break
     return confirmed
