@@ -22,7 +22,8 @@ def parse_envelope(text: Column) -> Column:
 def event_columns(envelope: str) -> list[Column]:
     """The event columns of a parsed envelope column."""
     names = [f for f in EVENT_SCHEMA if f.name != "payload"]
-    return [*(F.col(f"{envelope}.metadata.{f.name}").cast(f.dataType).alias(f.name) for f in names), F.col(f"{envelope}.payload").alias("payload")]
+    column = lambda f: F.col(f"{envelope}.metadata.{f.name}")
+    return [*((column(f).cast("long") if f.name in _WIDE else column(f)).alias(f.name) for f in names), F.col(f"{envelope}.payload").alias("payload")]
 
 
 def from_envelope_json(df: DataFrame, json_col: str) -> DataFrame:
