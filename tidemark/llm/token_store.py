@@ -119,15 +119,15 @@ def _shards(batches: Iterator[pa.RecordBatch], path: str, end_id: int, shard_ids
 
     part, number = TaskContext.get().partitionId(), 0
     tokens, end = word_tokens.load(path), np.array([end_id], "<u4").tobytes()
-    packed, docs, size = [], [], 0
+    packed, docs, size, before = [], [], 0, 0
 
     def flush() -> pa.RecordBatch:
         ids = np.frombuffer(b"".join(packed), "<u4")
         ends = np.cumsum([len(p) // 4 for p in packed], dtype=np.int64)
         column = pa.ListArray.from_arrays(pa.array([0, len(packed)], pa.int32()), pa.concat_arrays(docs))
         return pa.RecordBatch.from_arrays(
-            [pa.array([part], pa.int64()), pa.array([number], pa.int64()), column, pa.array([len(ids)], pa.int64()), pa.array([shard_image(ids, ends)], pa.binary())],
-            names=["part", "number", "doc_ids", "n_ids", "image"],
+            [pa.array([part], pa.int64()), pa.array([number], pa.int64()), column, pa.array([before], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([shard_image(ids, ends)], pa.binary())],
+            names=["part", "number", "doc_ids", "before", "n_ids", "image"],
         )
 
     for batch in slices(batches, 1, 1 << 20):
@@ -136,7 +136,7 @@ def _shards(batches: Iterator[pa.RecordBatch], path: str, end_id: int, shard_ids
         size = size + sum(len(p) for p in packed[-batch.num_rows :]) // 4
         if size >= shard_ids:
             yield flush()
-            packed, docs, size, number = [], [], 0, number + 1
+            packed, docs, size, number, before = [], [], 0, number + 1, before + size
     if packed:
         yield flush()
 
@@ -151,7 +151,7 @@ def write(df: DataFrame, tokenizer_path: str, path: str, id_col: str = "doc_id",
     kind = df.schema[id_col].dataType.simpleString()
     source = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("_row"))
     ordered = source.repartitionByRange("doc_id", "_row").sortWithinPartitions("doc_id", "_row").select("doc_id", "text")
-    shards = map_arrow(ordered, partial(_shards, path=tokenizer_path, end_id=end_id, shard_ids=shard_ids), f"part long, number long, doc_ids array<{kind}>, n_ids long, image binary")
+    shards = map_arrow(ordered, partial(_shards, path=tokenizer_path, end_id=end_id, shard_ids=shard_ids), f"part long, number long, doc_ids array<{kind}>, before long, n_ids long, image binary")
     shards.write.option("compression", "zstd").parquet(path)
 
 
@@ -173,20 +173,15 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens and ids (little-endian unsigned 32-bit) of every document of written shards.
 
-    ``start`` counts the ids of all documents before. It comes from one sum for each written
-    partition, of which there are as many as shuffle partitions, and sums over a partition's shards.
+    ``start`` counts the ids of all documents before. A shard knows the ids before it in its partition;
+    the partitions' sums, one number for each written partition, are broadcast. Shards aren't shuffled.
     """
-    from pyspark.sql import Window
-
     shards = spark.read.parquet(path)
     kind = shards.schema["doc_ids"].dataType.elementType.simpleString()
     sums = sorted((r["part"], r["n"]) for r in shards.groupBy("part").agg(F.sum("n_ids").alias("n")).collect())
     bases = np.cumsum([0, *(n for _, n in sums)]).tolist()
     per_part = spark.createDataFrame([(p, b) for (p, _), b in zip(sums, bases, strict=False)], "part long, part_base long")
-    within = Window.partitionBy("part").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
-    numbers = shards.select("part", "number", "n_ids").withColumn("before", F.coalesce(F.sum("n_ids").over(within), F.lit(0)))
-    offsets = numbers.join(F.broadcast(per_part), "part").select("part", "number", (F.col("part_base") + F.col("before")).alias("base"))
-    placed = shards.join(offsets, ["part", "number"]).select("doc_ids", "base", "image")
+    placed = shards.join(F.broadcast(per_part), "part").select("doc_ids", (F.col("part_base") + F.col("before")).alias("base"), "image")
     return map_arrow(placed, _read, f"doc_id {kind}, start long, n_tokens long, ids binary")
 
 
