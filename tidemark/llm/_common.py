@@ -55,6 +55,29 @@ def slices(batches: Iterator[pa.RecordBatch], column: int, max_bytes: int = BATC
             at = upto
 
 
+_holding: dict[str, Callable[[], None]] = {}
+
+
+def claim(name: str, release: Callable[[], None]) -> None:
+    """Say, in a Python worker, that an operator begins to fill its caches; the others' are released.
+
+    Workers live on from one operator to the next, so their caches would add up otherwise.
+    """
+    others = [n for n in _holding if n != name]
+    for n in others:
+        _holding.pop(n)()
+    _holding[name] = release
+    if others:
+        import ctypes
+        import gc
+
+        gc.collect()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)  # glibc: give freed pages back
+        except (OSError, AttributeError):
+            pass
+
+
 def map_arrow(df: DataFrame, function: Callable, schema: str) -> DataFrame:
     bounded_batches(df.sparkSession)
     return df.mapInArrow(function, schema)

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import bounded_batches
+from tidemark.llm._common import bounded_batches, claim
 
 DIMENSIONS = 1024
 NGRAM = 3
@@ -77,18 +77,20 @@ def bundle(texts: list[np.ndarray], dimensions: int = DIMENSIONS) -> np.ndarray:
     return out
 
 
-def groups(texts: list[np.ndarray], most: int = 1 << 19) -> Iterator[list[int]]:
-    """Positions of the texts that have letters, in runs of bounded size."""
-    run, size = [], 0
-    for i, t in enumerate(texts):
-        if len(t):
-            run.append(i)
-            size += len(t)
+def groups(texts: list[str | None], most: int = 1 << 19) -> Iterator[tuple[list[int], list[np.ndarray]]]:
+    """Positions and letters of the texts that have any, in runs of bounded size."""
+    at, run, size = [], [], 0
+    for i, text in enumerate(texts):
+        codes = letters(text) if isinstance(text, str) else ()
+        if len(codes):
+            at.append(i)
+            run.append(codes)
+            size += len(codes)
             if size >= most or len(run) >= 256:
-                yield run
-                run, size = [], 0
+                yield at, run
+                at, run, size = [], [], 0
     if run:
-        yield run
+        yield at, run
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -110,11 +112,12 @@ def fit(df: DataFrame, text_col: str = "text", label_col: str = "lang", id_col:
         sample = sample.where(F.col("share") < sample_rows / total).limit(2 * sample_rows)
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        claim("language_id", _vectors.clear)
         total: dict[str, np.ndarray] = {}
         for pdf in batches:
-            texts, langs = [letters(t) for t in pdf["text"]], pdf["lang"].tolist()
-            for run in groups(texts):
-                for i, v in zip(run, unit(bundle([texts[i] for i in run], dimensions)), strict=True):
+            langs = pdf["lang"].tolist()
+            for at, run in groups(pdf["text"].tolist()):
+                for i, v in zip(at, unit(bundle(run, dimensions)), strict=True):
                     total[langs[i]] = total.get(langs[i], 0) + np.rint(v * (1 << 20)).astype(np.int64)
         for lang, v in total.items():
             yield pd.DataFrame({"lang": lang, "k": np.arange(dimensions), "v": v})
@@ -140,14 +143,14 @@ def predict(text: Column, prototypes: dict[str, np.ndarray], spark=None) -> Colu
         bounded_batches(spark)
 
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        claim("language_id", _vectors.clear)
         for series in parts:
             lang, score = np.full(len(series), UNDETERMINED, object), np.zeros(len(series))
-            texts = [letters(t) if isinstance(t, str) else np.zeros(0, np.uint32) for t in series]
-            for group in groups(texts) if names else ():
-                cosine = (unit(bundle([texts[i] for i in group], table.shape[1])) @ table.T).round(6)
+            for at, group in groups(series.tolist()) if names else ():
+                cosine = (unit(bundle(group, table.shape[1])) @ table.T).round(6)
                 best = cosine.argmax(1)
-                lang[group] = [names[b] for b in best]
-                score[group] = np.clip(cosine.max(1), 0, 1)
+                lang[at] = [names[b] for b in best]
+                score[at] = np.clip(cosine.max(1), 0, 1)
             yield pd.DataFrame({"lang_pred": lang, "score": score})
 
     return F.pandas_udf(run, "lang_pred string, score double")(text)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import map_arrow, materialise, mix64, slices
+from tidemark.llm._common import claim, map_arrow, materialise, mix64, slices
 
 BLANK = " \t\n\x0b\x0c\r"
 MIN_CHARS = 20
@@ -82,6 +82,7 @@ def _build(bits: int, min_chars: int):
     """Each task's two filters, as rows (segment, once, twice)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("line_dedup", lambda: None)
         once, twice = Bloom(bits), Bloom(bits)
         for batch in slices(batches, 0):
             keys = [k for t in batch.column(0).to_pylist() for k in keys_of(t, min_chars)]

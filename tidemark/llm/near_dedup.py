@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import map_arrow, materialise, mix64, slices
+from tidemark.llm._common import claim, map_arrow, materialise, mix64, slices
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -45,7 +45,7 @@ def _word_hashes(words: list[str]) -> np.ndarray:
     try:
         packed = b"".join(map(_known.__getitem__, words))
     except KeyError:
-        if len(_known) > 400_000:
+        if len(_known) > 300_000:
             _known.clear()
         for w in words:
             if w not in _known:
@@ -134,7 +134,8 @@ def _profile(bands: int, rows: int, n: int, weighted: bool):
     """(id, node, bands, shingles) of documents; node stands for the words of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 1, 4 << 20):
+        claim("near_dedup", _known.clear)
+        for batch in slices(batches, 1, 2 << 20):
             nodes, sets, weights = [], [], []
             for text in batch.column(1).to_pylist():
                 text = text or ""

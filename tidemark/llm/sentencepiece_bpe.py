@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import map_arrow, slices
+from tidemark.llm._common import claim, map_arrow, slices
 
 NONE = np.int64(1) << np.int64(40)
 SPACE = "▁"
@@ -210,6 +210,7 @@ _loaded: dict[str, Encoder] = {}
 
 def load(path: str) -> Encoder:
     """One per worker process and file."""
+    claim("sentencepiece_bpe", _loaded.clear)
     if path not in _loaded:
         _loaded[path] = Encoder(path)
     return _loaded[path]
