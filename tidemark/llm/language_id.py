@@ -153,4 +153,4 @@ def predict(text: Column, prototypes: dict[str, np.ndarray], spark=None) -> Colu
                 score[at] = np.clip(cosine.max(1), 0, 1)
             yield pd.DataFrame({"lang_pred": lang, "score": score})
 
-    return F.pandas_udf(run, "lang_pred string, score double")(text)
+    return F.pandas_udf(run, "lang_pred string, score double").asNondeterministic()(text)  # else a filter on it would run it twice
