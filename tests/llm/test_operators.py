@@ -165,6 +165,22 @@ def test_near_dedup(spark):
     assert near_dedup.classes(docs(spark, [])).count() == 0
 
 
+def test_near_dedup_joins_what_missed_a_hub_to_what_matched_it(spark):
+    def coded(numbers):
+        return np.array(sorted(numbers), "<u4").tobytes()
+
+    hub = set(range(100))
+    near = hub - set(range(10)) | set(range(200, 210))  # 0.82 of the hub
+    edge = near - set(range(10, 20)) | set(range(210, 220))  # 0.82 of near, 0.67 of the hub
+    far = edge - set(range(20, 30)) | set(range(220, 230))  # linked to edge only
+    members = {b"z": hub, b"a": near, b"b": edge, b"c": far, b"d": set(range(1000, 1100)), b"e": set(range(2000, 2100))}
+    sets = spark.createDataFrame([(bytearray(k), bytearray(coded(v))) for k, v in members.items()], "node binary, shingles binary")
+    rows = spark.createDataFrame([(1, bytearray(k)) for k in members], "bucket long, node binary")
+    links, rings = near_dedup._links(rows, sets, 0.8)
+    labels = near_dedup._rejoin(near_dedup.components(links), rings, sets, 0.8)
+    assert {bytes(r["node"]): bytes(r["label"]) for r in labels.collect()} == dict.fromkeys([b"z", b"a", b"b", b"c"], b"a")
+
+
 def test_dart_signatures_estimate_weighted_similarity():
     elements = np.arange(1, 61, dtype=np.uint64)
     a, b = np.r_[np.full(40, 1.0), np.zeros(20)], np.r_[np.full(20, 3.0), np.full(20, 1.0), np.full(20, 0.5)]

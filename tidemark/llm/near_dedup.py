@@ -12,6 +12,10 @@ member that shares most of its buckets with most others, the likely origin of ed
 that don't match it go on among themselves,
 round by round, and what is left in the end is compared in blocks that put out links only. So no bucket emits its square, and no bucket is cut. Links are confirmed on the shingle sets
 themselves and joined to classes by spreading the smallest label.
+
+A member that missed the hub may still be linked to one that matched it. Jaccard distance is a metric, so with
+links up to the distance d the two are compared only if the miss lies within 2d of the hub and the match at
+least the miss's distance less d away; and only if the hub's class doesn't hold the miss already.
 """
 
 from __future__ import annotations
@@ -171,12 +175,15 @@ def jaccard(a: bytes, b: bytes) -> float:
     return shared / max(1, len(both) - shared)
 
 
-def _confirm(similarity: float):
+def _score(similarity: float):
+    """(a, b, near) of the pairs with that similarity, ``near``, at least."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b, x, y = (batch.column(i) for i in range(4))
-            keep = [i for i in range(batch.num_rows) if jaccard(x[i].as_buffer(), y[i].as_buffer()) >= similarity]
-            yield pa.RecordBatch.from_arrays([a.take(pa.array(keep, pa.int64())), b.take(pa.array(keep, pa.int64()))], names=["a", "b"])
+            near = np.array([jaccard(x[i].as_buffer(), y[i].as_buffer()) for i in range(batch.num_rows)], np.float64)
+            keep = pa.array(np.flatnonzero(near >= similarity))
+            yield pa.RecordBatch.from_arrays([a.take(keep), b.take(keep), pa.array(near).take(keep)], names=["a", "b", "near"])
 
     return run
 
@@ -192,13 +199,6 @@ def _all_pairs(rows: DataFrame) -> DataFrame:
     return members.select(F.explode(F.flatten(nested)).alias("p")).select("p.a", "p.b")
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
-    return materialise(map_arrow(both, _confirm(similarity), "a binary, b binary"), "links")
-
-
 def _links_in_blocks(sized: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Links among the members of buckets (bucket, node, n): each pair of blocks of a bucket is a group of bounded size."""
     blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
@@ -231,12 +231,51 @@ def _links_in_blocks(sized: DataFrame, sets: DataFrame, similarity: float) -> Da
     return dealt.groupBy("bucket", "p", "q").applyInArrow(run, "a binary, b binary").distinct()
 
 
-def _links(rows: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Confirmed pairs (a, b) of nodes that share a bucket of ``rows`` (bucket, node)."""
+def _links_across(rings: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links between the members of a ring (ring, node, near, missed, n_hit, n_missed) that matched its hub and those that missed it.
+
+    Each pair of a block of the first and a block of the second is a group of bounded size.
+    """
+    reach = 1 - similarity + 1e-9
+    wide = {side: F.ceil(F.col(n) / F.lit(BLOCK)).cast("int") for side, n in ((False, "n_hit"), (True, "n_missed"))}
+    own = F.pmod(F.xxhash64("node"), F.when(F.col("missed"), wide[True]).otherwise(wide[False])).cast("int")
+    others = F.when(F.col("missed"), wide[False]).otherwise(wide[True])
+    dealt = rings.select("ring", "node", "near", "missed", own.alias("own"), F.explode(F.sequence(F.lit(0), others - 1)).alias("other"))
+    p, q = F.when(F.col("missed"), F.col("other")).otherwise(F.col("own")), F.when(F.col("missed"), F.col("own")).otherwise(F.col("other"))
+    dealt = dealt.join(sets, "node").select("ring", p.alias("p"), q.alias("q"), "node", "near", "missed", "shingles")
+
+    def run(group: pa.Table) -> pa.Table:
+        missed, near = np.array(group.column("missed")), np.array(group.column("near"))
+        nodes, sets_ = group.column("node").to_pylist(), [np.frombuffer(x, "<u4") for x in group.column("shingles").to_pylist()]
+        hits, a, b = np.flatnonzero(~missed), [], []
+        if len(hits) and missed.any():
+            flat = np.concatenate([sets_[j] for j in hits])
+            lengths = np.array([len(sets_[j]) for j in hits])
+            starts = np.cumsum(lengths) - lengths
+            values, place = np.unique(flat, return_inverse=True)
+            for i in np.flatnonzero(missed):
+                size = len(sets_[i])
+                able = (near[hits] <= near[i] + reach) & (lengths >= similarity * size) & (size >= similarity * lengths)
+                if not able.any():
+                    continue
+                shared = np.add.reduceat(np.isin(values, sets_[i])[place].astype(np.int64), starts)
+                for j in hits[able & (shared >= similarity * (lengths + size - shared))]:
+                    a.append(min(nodes[i], nodes[j]))
+                    b.append(max(nodes[i], nodes[j]))
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+
+    return dealt.groupBy("ring", "p", "q").applyInArrow(run, "a binary, b binary").distinct()
+
+
+def _links(rows: DataFrame, sets: DataFrame, similarity: float) -> tuple[DataFrame, list[DataFrame]]:
+    """Confirmed pairs (a, b) of nodes that share a bucket of ``rows`` (bucket, node), and what :func:`_rejoin` needs.
+
+    That is, for each round, (ring, hub, node, near) of the members near the hub of a bucket with misses within reach.
+    """
     sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
     crowd = materialise(rows.join(sizes, "bucket").groupBy("node").agg(F.sum("n").alias("crowd")), "crowd")
     rows = materialise(rows.join(crowd, "node"), "buckets")
-    confirmed = None
+    confirmed, rings = None, []
     for number in range(ROUNDS + 1):
         size = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("crowd", "node"))["node"].alias("hub")).where(F.col("n") > 1)
         sized = materialise(rows.join(size, "bucket"), "sized")
@@ -244,17 +283,51 @@ def _links(rows: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
             confirmed = confirmed.union(materialise(_links_in_blocks(sized, sets, similarity), "links"))
             break
         pairs = _all_pairs(sized.where(F.col("n") <= SMALL))
-        spokes = sized.where((F.col("n") > SMALL) & (F.col("node") != F.col("hub"))).select("bucket", "node", "crowd", *_ordered("node", "hub"))
+        spokes = sized.where((F.col("n") > SMALL) & (F.col("node") != F.col("hub"))).select("bucket", "node", "hub", "crowd", *_ordered("node", "hub"))
         pairs = pairs.union(spokes.select("a", "b"))
         left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
         right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
         both = pairs.distinct().join(left, "a").join(right, "b").select("a", "b", "x", "y")
-        found = materialise(map_arrow(both, _confirm(similarity), "a binary, b binary"), "links")
+        scored = materialise(map_arrow(both, _score(2 * similarity - 1 - 1e-9), "a binary, b binary, near double"), "links")
+        found = scored.where(F.col("near") >= similarity).select("a", "b")
         confirmed = found if confirmed is None else confirmed.union(found)
+        placed = spokes.join(scored, ["a", "b"]).select(F.struct(F.lit(number).alias("round"), "bucket").alias("ring"), "hub", "node", "near")
+        rings.append(placed)
         rows = materialise(spokes.join(found, ["a", "b"], "left_anti").select("bucket", "node", "crowd"), "rest")
         if rows.isEmpty():
             break
-    return confirmed
+    return confirmed, rings
+
+
+def _rejoin(labels: DataFrame, rings: list[DataFrame], sets: DataFrame, similarity: float) -> DataFrame:
+    """``labels`` after the links between members that matched a hub and those that missed it.
+
+    Matches have their hub's label, so only misses with another one can change anything.
+    """
+    placed = rings[0]
+    for more in rings[1:]:
+        placed = placed.union(more)
+    own = labels.select("node", "label")
+    of_hub = labels.select(F.col("node").alias("hub"), F.col("label").alias("hub_label"))
+    missed = placed.where(F.col("near") < similarity).join(own, "node", "left").join(of_hub, "hub", "left")
+    missed = materialise(missed.where(~F.coalesce("label", "node").eqNullSafe(F.coalesce("hub_label", "hub"))).select("ring", "node", "near"), "missed")
+    if missed.isEmpty():
+        return labels
+    # of the matches, those that the nearest miss of their ring allows
+    nearest = missed.groupBy("ring").agg(F.max("near").alias("most"), F.count(F.lit(1)).alias("n_missed"))
+    hits = placed.where(F.col("near") >= similarity).join(nearest, "ring").where(F.col("near") <= F.col("most") + (1 - similarity + 1e-9))
+    hits = materialise(hits.select("ring", "node", "near", "n_missed"), "hits")
+    counted = hits.groupBy("ring").agg(F.count(F.lit(1)).alias("n_hit"), F.first("n_missed").alias("n_missed"))
+    both = hits.select("ring", "node", "near", F.lit(False).alias("missed")).union(missed.select("ring", "node", "near", F.lit(True)))
+    across = materialise(_links_across(both.join(counted, "ring"), sets, similarity), "links")
+    if across.isEmpty():
+        return labels
+    # classes as nodes: only those that a new link touches take part
+    for side in ("a", "b"):
+        across = across.join(labels.select(F.col("node").alias(side), "label"), side, "left").withColumn(side, F.coalesce("label", side)).drop("label")
+    joined = components(across.where(F.col("a") != F.col("b")).select(*_ordered("a", "b")).distinct())
+    merged = labels.join(joined.select(F.col("node").alias("label"), F.col("label").alias("wider")), "label", "left").select("node", F.coalesce("wider", "label").alias("label"))
+    return merged.union(joined.join(labels.select("node"), "node", "left_anti").select("node", "label"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -294,7 +367,8 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
     rows_ = materialise(bucketed.join(shared, "bucket"), "candidates")
     wanted = rows_.select("node").distinct()
     sets = materialise(profiles.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
-    labels = components(_links(rows_, sets, similarity))
+    links, rings = _links(rows_, sets, similarity)
+    labels = _rejoin(components(links), rings, sets, similarity)
     labelled = nodes.select("node", "rep", "copies").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     names = labelled.groupBy("label").agg(F.min("rep").alias("class_id"))
     named = labelled.join(names, "label").select("node", "class_id", "copies")
