@@ -165,6 +165,25 @@ def test_near_dedup(spark):
     assert near_dedup.classes(docs(spark, [])).count() == 0
 
 
+def test_keep_one_with_repeated_and_null_ids(spark):
+    words = [" ".join(f"{c}{i}" for i in range(30)) for c in "abcd"]
+    rows = [(1, words[0]), (1, words[0]), (1, words[1]), (2, words[0]), (3, words[2]), (4, words[2]), (None, words[3]), (None, words[3]), (None, words[2]), (5, None), (6, "")]
+    frame = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, _found string")
+    kept = near_dedup.keep_one(frame)
+    want = [(1, words[0]), (1, words[1]), (3, words[2]), (None, words[2]), (None, words[3]), (5, None)]
+    key = lambda r: (r[0] or 0, r[1] or "")
+    assert kept.columns == frame.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=key) == sorted(want, key=key)
+
+
+def test_bloom_filter_of_keys_misses_none(spark):
+    every = spark.range(20_000)
+    keys = every.where("id % 7 = 0")
+    passed = {r["id"] for r in every.where(near_dedup._perhaps_in(keys, "id")).collect()}
+    assert set(range(0, 20_000, 7)) <= passed and len(passed) < 4000
+    assert every.where(near_dedup._perhaps_in(keys.where("id < 0"), "id")).count() == 0
+
+
 def test_near_dedup_joins_what_missed_a_hub_to_what_matched_it(spark):
     def coded(numbers):
         return np.array(sorted(numbers), "<u4").tobytes()
