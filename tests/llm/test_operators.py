@@ -231,6 +231,18 @@ def test_secret_scan(spark):
     assert rows[0]["s"]["redacted"] == "[SECRET] then" and rows[3]["s"]["redacted"] == "[SECRET]'" and rows[8]["s"]["redacted"] is None
 
 
+def found_secrets(*texts):
+    encoding = secret_scan._encoding(vocabulary("byte_bpe_50k.tiktoken"), tiktoken_pattern())
+    return [[t[s:e] for s, _, e in secret_scan.random_spans(t, encoding, secret_scan.base_spans(t))] for t in texts]
+
+
+def test_secret_scan_tests_letters_too():
+    keys = ["KqZvXwJhTbNcRfGmLpYd", "zkqxvwjhtbncrfgmlpyd", "QXZKVWJHTBNCRFGMLPYD", "Zx8Qp2Lk9Vw3Rt7Yb5/Nm", "qzxv-kwjh-tbnc-rfgm-lpyd"]
+    assert found_secrets(*(f"use {k} here" for k in keys)) == [[k] for k in keys]
+    names = ["averyveryverylongplainidentifier", "getUserAccountConfigurationManager", "usr/local/lib/python3/site-packages", "user-guide-v2-part-3-section-4", "2024-01-02-03-04-05-06", "-" * 40]
+    assert found_secrets(*names) == [[]] * len(names)
+
+
 def test_html(spark):
     text = "The quick brown fox of the house was in the garden and it ran to the river with all of its friends"
     page = f"""<html><head><title>t</title><script>var a='</p>';</script></head><body><header><h1>Site</h1></header><nav><a href=x>Home</a></nav>

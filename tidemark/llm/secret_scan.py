@@ -1,9 +1,9 @@
 """Secret scan: fixed patterns, and strings that a tiktoken vocabulary can't compress.
 
 Method: text that people write takes few tokens for its length, random strings take many. A run of key
-characters that mixes letters and digits is a secret when it has few characters per token. Known
-digests (hexadecimal strings of a usual digest's length), UUIDs, and identifiers made of words or of
-plain numbers are excluded before. The fixed patterns' spans always stay.
+characters is a secret when it has few characters per token. Known digests (hexadecimal strings of a
+usual digest's length), UUIDs, and identifiers whose parts are all plain, that is words with many
+characters per token or numbers, are excluded before. The fixed patterns' spans always stay.
 """
 
 from __future__ import annotations
@@ -26,6 +26,9 @@ HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "random")
 
 RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
+PART = re.compile("[A-Za-z0-9]+")
+#: A short number at a word's end.
+NUMBERED = re.compile(r"(?<=[a-z])\d{1,4}\Z")
 UUID = re.compile(r"(?i)[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}")
 DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)
 WORDS = ("passw", "secret", "token", "api")
@@ -52,14 +55,23 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(spans)
 
 
-def excluded(run: str) -> bool:
-    """Digests, UUIDs, and identifiers whose parts are plain words or plain numbers."""
+def is_plain(part: str, encoding, ratio: float) -> bool:
+    """Words, as far as the vocabulary knows them, with a short number behind them or none; and plain numbers."""
+    if part.isdigit():
+        return True
+    word = NUMBERED.sub("", part)
+    tokens = len(encoding.encode_ordinary(word))
+    return word.isalpha() and (tokens == 1 or len(word) >= ratio * tokens)
+
+
+def excluded(run: str, encoding, ratio: float) -> bool:
+    """Digests, UUIDs, and identifiers whose parts are all plain."""
     if UUID.search(run):
         return True
     bare = run.rsplit("-", 1)[-1].rsplit("=", 1)[-1].lower()
     if len(bare) in DIGEST_LENGTHS and re.fullmatch("[0-9a-f]+", bare):
         return True
-    return all(p.isalpha() or p.isdigit() or not p for p in re.split(r"[+/_=-]", re.sub(r"(?<=[a-z])\d{1,4}(?![A-Za-z0-9])", "", run)))
+    return all(is_plain(p, encoding, ratio) for p in PART.findall(run))
 
 
 def random_spans(text: str, encoding, taken: list[tuple[int, int, int]], ratio: float = MAX_CHARS_PER_TOKEN) -> list[tuple[int, int, int]]:
@@ -67,7 +79,7 @@ def random_spans(text: str, encoding, taken: list[tuple[int, int, int]], ratio:
     spans = []
     for m in RUN.finditer(text):
         run = m[0]
-        if excluded(run) or any(s < m.end() and m.start() < e for s, _, e in taken):
+        if excluded(run, encoding, ratio) or any(s < m.end() and m.start() < e for s, _, e in taken):
             continue
         if len(run) / len(encoding.encode_ordinary(run)) < ratio:
             spans.append((m.start(), 3, m.end()))
