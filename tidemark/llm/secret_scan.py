@@ -2,8 +2,10 @@
 
 Method: text that people write takes few tokens for its length, random strings take many. A run of key
 characters is a secret when it has few characters per token. Known digests (hexadecimal strings of a
-usual digest's length), UUIDs, and identifiers whose parts are all plain, that is words with many
-characters per token or numbers, are excluded before. The fixed patterns' spans always stay.
+usual digest's length) and UUIDs are cut out before, and what is left on either side is tested by itself.
+Identifiers whose parts are all plain, that is words with many characters per token or numbers, are
+excluded. Where a run as a whole is readable, the parts that aren't plain are tested without the others.
+The fixed patterns' spans always stay.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -25,11 +28,14 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "random")
 
+LEAST_CHARS = 20
+SEPARATORS = "+/_=-"
 RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
 PART = re.compile("[A-Za-z0-9]+")
 #: A short number at a word's end.
 NUMBERED = re.compile(r"(?<=[a-z])\d{1,4}\Z")
 UUID = re.compile(r"(?i)[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}")
+HEXADECIMAL = re.compile("[0-9a-fA-F]+")
 DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)
 WORDS = ("passw", "secret", "token", "api")
 MAX_CHARS_PER_TOKEN = 2.2
@@ -64,25 +70,60 @@ def is_plain(part: str, encoding, ratio: float) -> bool:
     return word.isalpha() and (tokens == 1 or len(word) >= ratio * tokens)
 
 
-def excluded(run: str, encoding, ratio: float) -> bool:
-    """Digests, UUIDs, and identifiers whose parts are all plain."""
-    if UUID.search(run):
-        return True
-    bare = run.rsplit("-", 1)[-1].rsplit("=", 1)[-1].lower()
-    if len(bare) in DIGEST_LENGTHS and re.fullmatch("[0-9a-f]+", bare):
-        return True
-    return all(is_plain(p, encoding, ratio) for p in PART.findall(run))
+def stretches(text: str, start: int, end: int, taken: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """What fixed patterns, UUIDs and known digests leave of a run, without the separator beside them."""
+    cuts = [(s, e) for s, _, e in taken if s < end and start < e]
+    cuts += [m.span() for m in UUID.finditer(text, start, end)]
+    cuts += [m.span() for m in PART.finditer(text, start, end) if len(m[0]) in DIGEST_LENGTHS and HEXADECIMAL.fullmatch(m[0])]
+    found, at = [], start
+    for s, e in [*sorted(cuts), (end, end)]:
+        a = at + (at > start and at < end and text[at] in SEPARATORS)
+        b = s - (s < end and s > a and text[s - 1] in SEPARATORS)
+        if b - a >= LEAST_CHARS:
+            found.append((a, b))
+        at = max(at, e)
+    return found
+
+
+def unreadable(run: str, encoding, ratio: float) -> list[tuple[int, int]]:
+    """(start, end) of what has few characters per token: the whole run, or else its parts that aren't plain.
+
+    Neighbours among these parts are taken together, with what lies between them, as long as they stay under the ratio.
+    """
+    parts = [m.span() for m in PART.finditer(run)]
+    odd = [i for i, (s, e) in enumerate(parts) if not is_plain(run[s:e], encoding, ratio)]
+    if not odd:
+        return []
+    tokens = encoding.encode_ordinary(run)
+    if len(run) < ratio * len(tokens):
+        return [(0, len(run))]
+    starts = np.cumsum([0] + [len(encoding.decode_single_token_bytes(t)) for t in tokens])  # no token crosses a part's edge
+
+    def low(first: int, last: int) -> bool:
+        s, e = parts[first][0], parts[last][1]
+        return e - s < ratio * (np.searchsorted(starts, e) - np.searchsorted(starts, s))
+
+    groups: list[tuple[int, int]] = []
+    for i in odd:
+        groups.append((i, i))
+        while len(groups) > 1 and low(groups[-2][0], groups[-1][1]):
+            groups[-2:] = [(groups[-2][0], groups[-1][1])]
+    found = []
+    for first, last in groups:
+        # separators at the ends may belong to a key, but for the one beside a readable part
+        s = parts[first - 1][1] + 1 if first else 0
+        e = parts[last + 1][0] - 1 if last + 1 < len(parts) else len(run)
+        if e - s >= LEAST_CHARS and low(first, last):
+            found.append((s, e))
+    return found
 
 
 def random_spans(text: str, encoding, taken: list[tuple[int, int, int]], ratio: float = MAX_CHARS_PER_TOKEN) -> list[tuple[int, int, int]]:
-    """Runs with few characters per token that no fixed pattern covers."""
+    """Runs, and parts of runs, with few characters per token that no fixed pattern covers."""
     spans = []
     for m in RUN.finditer(text):
-        run = m[0]
-        if excluded(run, encoding, ratio) or any(s < m.end() and m.start() < e for s, _, e in taken):
-            continue
-        if len(run) / len(encoding.encode_ordinary(run)) < ratio:
-            spans.append((m.start(), 3, m.end()))
+        for a, b in stretches(text, m.start(), m.end(), taken):
+            spans += [(a + s, 3, a + e) for s, e in unreadable(text[a:b], encoding, ratio)]
     return spans
 
 
