@@ -37,8 +37,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates stays."""
-    return near_dedup.keep_one(docs).select(*COLUMNS)
+    """One document of each class of near duplicates stays, whatever ids are null or repeat."""
+    return near_dedup.keep_one(docs, one_row=True).select(*COLUMNS)
 
 
 def remove_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

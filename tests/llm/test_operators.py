@@ -176,6 +176,19 @@ def test_keep_one_with_repeated_and_null_ids(spark):
     assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=key) == sorted(want, key=key)
 
 
+def test_keep_one_row_with_repeated_and_null_ids(spark):
+    words = [" ".join(f"{c}{i}" for i in range(60)) for c in "abcd"]
+    near = words[3] + " more"
+    rows = [(1, words[0]), (1, words[0]), (1, words[0] + " more"), (1, words[1]), (2, words[0]), (3, words[2]), (4, words[2]), (None, words[3]), (None, words[3].upper()), (None, near), (None, words[2]), (5, None), (6, ""), (None, "other"), (7, "seven")]
+    frame = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, first string")
+    kept = near_dedup.keep_one(frame, one_row=True)
+    assert kept.columns == frame.columns
+    got = sorted((r["doc_id"] or 0, " ".join((r["text"] or "").lower().split()[:60])) for r in kept.collect())
+    assert got == sorted([(1, words[0]), (1, words[1]), (3, words[2]), (0, words[3]), (5, ""), (0, "other"), (7, "seven")])
+    whole = frame.where("doc_id IN (3, 4, 5, 6, 7)")
+    assert sorted(r["doc_id"] for r in near_dedup.keep_one(whole, one_row=True).collect()) == [3, 5, 7]
+
+
 def test_bloom_filter_of_keys_misses_none(spark):
     every = spark.range(20_000)
     keys = every.where("id % 7 = 0")

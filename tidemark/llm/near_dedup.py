@@ -137,6 +137,17 @@ def band_values(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return total.view(np.int64)
 
 
+def _node(words: list[str], text: str) -> bytes:
+    """What texts of the same words share; texts without a word share it if they are equal."""
+    same = " ".join(words) if words else "\0" + text
+    return hashlib.blake2b(same.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
+
+def _nodes(texts: pd.Series) -> pd.Series:
+    """The nodes of texts, as of :func:`_node`; null for a null."""
+    return pd.Series([None if t is None else _node(_WORD.findall(t.lower()), t) for t in texts], dtype=object)
+
+
 def _profile(bands: int, rows: int, n: int, weighted: bool):
     """(id, node, bands, shingles) of documents; node stands for the words of the text."""
 
@@ -147,8 +158,7 @@ def _profile(bands: int, rows: int, n: int, weighted: bool):
             for text in batch.column(1).to_pylist():
                 text = text or ""
                 words = _WORD.findall(text.lower())
-                same = " ".join(words) if words else "\0" + text
-                nodes.append(hashlib.blake2b(same.encode("utf-8", "surrogatepass"), digest_size=16).digest())
+                nodes.append(_node(words, text))
                 found, counts = np.unique(shingles(words, n), return_counts=True)
                 sets.append(found)
                 weights.append(counts if weighted else np.ones(len(found)))
@@ -407,6 +417,11 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
     them as empty texts, are in a class only with rows of the very same text. Texts count whole. Repeated rows and ids get
     a row each; null ids are in classes but name one only if the class has no other. An empty table gives no rows.
     """
+    return _judged(df, id_col, text_col, words, similarity, bands, rows, weighted).select(F.col("id").alias("doc_id"), "class_id", "copies")
+
+
+def _judged(df: DataFrame, id_col: str, text_col: str, words: int = WORDS, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, weighted: bool = False) -> DataFrame:
+    """(id, node, class_id, copies, first) of every row, as of :func:`classes`; ``first`` holds on one id and node of each class."""
     kind = df.schema[id_col].dataType.simpleString()
     source = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     profiles = materialise(map_arrow(source, _profile(bands, rows, words, weighted), f"id {kind}, node binary, bands array<long>, shingles binary"), "profiles")
@@ -421,16 +436,22 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
     links, rings = _links(rows_, sets, similarity)
     labels = _rejoin(components(links), rings, sets, similarity)
     labelled = nodes.select("node", "rep", "copies").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    names = labelled.groupBy("label").agg(F.min("rep").alias("class_id"))
-    named = labelled.join(names, "label").select("node", "class_id", "copies")
-    return profiles.select("id", "node").join(named, "node").select(F.col("id").alias("doc_id"), "class_id", "copies")
+    names = labelled.groupBy("label").agg(F.min("rep").alias("class_id"), F.min(F.struct(F.col("rep").isNull(), "rep", "node"))["node"].alias("keeper"))
+    named = labelled.join(names, "label").select("node", "class_id", "copies", (F.col("node") == F.col("keeper")).alias("keeps"))
+    first = F.col("keeps") & F.col("id").eqNullSafe(F.col("class_id"))
+    return profiles.select("id", "node").join(named, "node").select("id", "node", "class_id", "copies", first.alias("first"))
 
 
-def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", one_row: bool = False, **options) -> DataFrame:
     """The rows of ``df`` that stay when one document of each class stays: the one with the smallest id.
 
-    A class without any id keeps the copies of its text that have none. Rows that repeat both id and text stay once.
+    With ``one_row`` one row of each class stays, also where ids are null or repeat: of the rows with the class's smallest
+    id (without any, of those that have none) one of the smallest node. Else rows of one id stay or go together: a class
+    without any id keeps the copies of its text that have none, and with them stay all rows without an id; rows that repeat
+    both id and text stay once.
     """
+    if one_row:
+        return _keep_one_row(df, id_col, text_col, **options)
     found = classes(df, id_col, text_col, **options).groupBy(F.col("doc_id").alias("_tidemark_id"))
     verdicts = found.agg(F.max(F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("_tidemark_stays"), F.count(F.lit(1)).alias("_tidemark_rows"))
     # ids that go or repeat; rows of others stay where they are, and only these are shuffled with their texts
@@ -440,3 +461,21 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **op
     judged = marked.where("_tidemark_perhaps").join(doubtful, F.col(id_col).eqNullSafe(F.col("_tidemark_id")), "left")
     stay = judged.where(F.coalesce("_tidemark_stays", F.lit(True))).dropDuplicates([id_col, text_col])
     return marked.where(~F.col("_tidemark_perhaps")).select(df.columns).union(stay.select(df.columns))
+
+
+def _keep_one_row(df: DataFrame, id_col: str, text_col: str, **options) -> DataFrame:
+    found = materialise(_judged(df, id_col, text_col, **options).select(F.col("id").alias("_tidemark_id"), F.col("node").alias("_tidemark_key"), "first"), "judged")
+    verdicts = found.groupBy("_tidemark_id").agg(F.max("first").alias("stays"), F.count(F.lit(1)).alias("_tidemark_rows"))
+    # ids that go or repeat; rows of others stay where they are, and only these are shuffled with their texts
+    doubtful = materialise(verdicts.where(~F.col("stays") | (F.col("_tidemark_rows") > 1)).select("_tidemark_id", "stays", "_tidemark_rows"), "doubtful")
+    marked = df.withColumn("_tidemark_perhaps", _perhaps_in(doubtful.select(F.col("_tidemark_id").alias(id_col)), id_col))
+    judged = marked.where("_tidemark_perhaps").join(doubtful.select("_tidemark_id", "_tidemark_rows"), F.col(id_col).eqNullSafe(F.col("_tidemark_id")), "left").drop("_tidemark_id")
+    sure = marked.where(~F.col("_tidemark_perhaps")).select(df.columns).union(judged.where(F.col("_tidemark_rows").isNull()).select(df.columns))
+    repeated = doubtful.where(F.col("stays") & (F.col("_tidemark_rows") > 1))
+    if repeated.isEmpty():
+        return sure
+    # rows of ids that repeat are told apart by their words
+    chosen = found.where("first").select("_tidemark_id", "_tidemark_key").distinct()
+    several = judged.where(F.col("_tidemark_rows") > 1).withColumn("_tidemark_node", F.pandas_udf(_nodes, "binary")(F.coalesce(text_col, F.lit(""))))
+    stay = several.join(chosen, F.col(id_col).eqNullSafe(F.col("_tidemark_id")) & (F.col("_tidemark_node") == F.col("_tidemark_key")), "left_semi")
+    return sure.union(stay.dropDuplicates([id_col, "_tidemark_node"]).select(df.columns))
