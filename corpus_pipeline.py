@@ -13,8 +13,10 @@ from tidemark.llm import language_id, line_dedup, near_dedup, packing, secret_sc
 from tidemark.llm._common import materialise
 from tidemark.llm.queries import held_out, tiktoken_pattern, vocabulary
 
-#: A text whose cosine with every language is lower is in none of them.
+#: A text whose cosine with every language is lower is in none of them,
 LEAST_SCORE = 0.05
+#: if it has so many letters; the cosine of fewer is mostly chance.
+LEAST_LETTERS = 100
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -24,10 +26,11 @@ def _with_text(docs: DataFrame, text) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language (no letter, or far from all prototypes) go; ``lang`` becomes the language found."""
+    """Documents without a language (no letter, or many and far from all prototypes) go; ``lang`` becomes the language found."""
     prototypes = language_id.fit(docs.where(~held_out()))
     found = docs.withColumn("_found", language_id.predict(F.col("text"), prototypes, spark))
-    kept = found.where((F.col("_found.lang_pred") != language_id.UNDETERMINED) & (F.col("_found.score") >= LEAST_SCORE))
+    telling = F.length(F.regexp_replace("text", r"\P{L}+", "")) >= LEAST_LETTERS
+    kept = found.where((F.col("_found.lang_pred") != language_id.UNDETERMINED) & ((F.col("_found.score") >= LEAST_SCORE) | ~telling))
     return kept.withColumn("lang", F.col("_found.lang_pred")).select(*COLUMNS)
 
 
