@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -104,6 +105,27 @@ def vectors(spark, seed=0, n=300):
     return rows, spark.createDataFrame(rows, "vec_id long, embedding array<float>, score string")
 
 
+def test_top_k_of_large_components_is_exact():
+    rng = np.random.default_rng(3)
+    for size in (1 << 22, 1 << 29, 1 << 37, 1 << 52):
+        values = rng.integers(-size, size, (200, 8)) * rng.choice([1, 1 << 10], (200, 1))
+        query = rng.integers(-20, 20, 8) if size > 1 << 37 else rng.integers(-(1 << 12), 1 << 12, 8)
+        table = pa.table({"vector": pa.array((values / 256.0).tolist(), pa.list_(pa.float64()))})
+        whole = topk_slices._quantised(table, 256.0)
+        want = [[int(np.floor(256 * (int(x) / 256.0))) for x in v] for v in values]
+        assert whole.tolist() == want
+        exact = sorted((-sum(x * int(y) for x, y in zip(v, query, strict=True)), i) for i, v in enumerate(want))[:5]
+        index = topk_slices.SliceIndex(np.arange(200), whole)
+        if -exact[0][0] < 1 << 63:
+            ids, scores = index.search(-1, query, 5)
+            assert list(zip((-scores).tolist(), ids.tolist(), strict=True)) == exact
+        else:
+            with pytest.raises(OverflowError):
+                index.search(-1, query, 5)
+    with pytest.raises(OverflowError):
+        topk_slices._quantised(pa.table({"vector": pa.array([[1e300]], pa.list_(pa.float64()))}), 256.0)
+
+
 @pytest.mark.parametrize("block_rows", [64, 32768])
 def test_top_k(spark, block_rows):
     rows, df = vectors(spark)

@@ -49,8 +49,9 @@ class SliceIndex:
 
     def __init__(self, ids: np.ndarray, values: np.ndarray, kept_digits: int = KEPT_DIGITS):
         self.ids, self.values = ids, values
+        self.largest = int(np.abs(values).max(initial=0))
         self.n, self.words = len(values), max(1, -(-len(values) // 64))
-        self.digits = max(int(np.abs(values).max(initial=0)).bit_length() + 1, 2)
+        self.digits = max(self.largest.bit_length() + 1, 2)
         self.dropped = max(0, self.digits - kept_digits)
         self.digits -= self.dropped
         slices = [_bitmap((values[:, d] >> (self.dropped + b)) & 1 == 1, self.words) for d in range(values.shape[1]) for b in range(self.digits)]
@@ -109,7 +110,7 @@ class SliceIndex:
                 else:
                     sure, tied, kth = sure | ones, tied & ~s, kth << 1
             # lowest sum that the dropped digits can still lift to the k-th
-            slack = int(np.abs(query).sum()) * ((1 << self.dropped) - 1)
+            slack = sum(map(abs, query.tolist())) * ((1 << self.dropped) - 1)
             least = kth - -(-slack >> self.dropped)
             if least > 0:
                 above, equal = np.zeros_like(rest), rest
@@ -124,13 +125,23 @@ class SliceIndex:
     def search(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, scores) of the best k rows whose id isn't the query's, ties to the smaller id."""
         rows = self.boundary(query_id, query, k)
+        if self.largest * sum(map(abs, query.tolist())) >= 1 << 63:  # beyond 64 bits: Python's whole numbers
+            exact = self.values[rows].astype(object) @ query.astype(object)
+            order = sorted(range(len(rows)), key=lambda i: (-exact[i], self.ids[rows[i]]))[:k]
+            if any(not -(1 << 63) <= exact[i] < 1 << 63 for i in order):
+                raise OverflowError(f"a score of query {query_id} is beyond 64 bits")
+            return self.ids[rows][order], exact[order].astype(np.int64)
         scores = self.values[rows] @ query
         best = np.lexsort((self.ids[rows], -scores))[:k]
         return self.ids[rows][best], scores[best]
 
 
 def _quantised(table: pa.Table, scale: float) -> np.ndarray:
-    return np.clip(np.floor(scale * matrix(table)), -(1 << 30), 1 << 30).astype(np.int64)
+    with np.errstate(over="ignore"):
+        whole = np.floor(scale * matrix(table))
+    if (np.abs(whole) >= 2.0**63).any():
+        raise OverflowError("a component is beyond 64 bits after scaling")
+    return whole.astype(np.int64)
 
 
 def _search(block: pa.Table, queries: pa.Table, k: int, scale: float) -> pa.Table:
@@ -154,7 +165,7 @@ def top_k(df: DataFrame, query: Column, id_col: str = "vec_id", vector_col: str
     than k are returned only if there are fewer. Ties go to the smaller id. Rows with a null id, or a
     vector that is null, empty, shorter than the longest, or holds a null or non-finite component take no part.
     Every query row is a query of its own, repeated rows too, and repeated rows are candidates each.
-    Components beyond 2^30 after scaling count as 2^30. An empty table gives no rows.
+    Components or scores beyond 64 bits, which SQL's BIGINT doesn't hold either, end the job with an error. An empty table gives no rows.
     """
     rows = valid_rows(df, id_col, vector_col)
     return search_blocks(rows, rows.where(query), partial(_search, k=k, scale=scale), k, "long", block_rows, query_rows)
