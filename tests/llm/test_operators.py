@@ -308,6 +308,15 @@ def test_html(spark):
     assert got == [f"Title &c\n\n{text}\n\nShort été.\n\n{text} {text}", "", "", "Only this.", ""]
 
 
+def test_html_keeps_other_languages_and_named_sections_of_an_article():
+    polish = "Szybki brązowy lis przeskoczył nad leniwym psem, który spał przed domem starego młynarza."
+    page = f"<nav><a href=x>Start</a></nav><div><h2>Lis</h2><p>{polish}</p><p>{polish}</p></div><footer>Kontakt</footer>"
+    assert html_main.main_text(page) == f"Lis\n\n{polish}\n\n{polish}"
+    text = "The quick brown fox of the house was in the garden and it ran to the river with all of its friends"
+    page = f"<article><p>{text}</p><section id='legal-history'><h2>Law</h2><p>{text} again</p></section><div class='related'><a href=x>{text}</a></div><div class=share>Share this</div></article>"
+    assert html_main.main_text(page) == f"{text}\n\nLaw\n\n{text} again"
+
+
 def test_crc_of_packed_ids_is_the_query_digest(spark):
     row = packing.pack(docs(spark, ["a b c"]), WORDS).select("ids", F.crc32("ids").alias("c")).head()
     assert row["c"] == zlib.crc32(bytes(row["ids"]))

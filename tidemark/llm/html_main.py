@@ -57,14 +57,15 @@ STOP_DENSITY = 0.15
 
 
 class Block:
-    __slots__ = ("parts", "linked", "bad", "inside", "heading", "label", "text")
+    __slots__ = ("parts", "linked", "bad", "inside", "heading", "named", "label", "text")
 
-    def __init__(self, bad: bool, inside: bool, heading: bool):
-        self.parts, self.linked, self.bad, self.inside, self.heading, self.label, self.text = [], 0, bad, inside, heading, None, ""
+    def __init__(self, bad: bool, inside: bool, heading: bool, named: int = 0):
+        self.parts, self.linked, self.bad, self.inside, self.heading, self.named, self.label, self.text = [], 0, bad, inside, heading, named, None, ""
 
 
-def _boilerplate(tag: str, attrs: str, inside: bool) -> bool:
-    """Whether an element's name or attributes say that it isn't the article."""
+def _boilerplate(tag: str, attrs: str, inside: bool) -> bool | None:
+    """Whether an element's name or attributes say that it isn't the article; None if inside it only a class or id says so."""
+    verdict: bool | None = False
     if tag in BOILERPLATE_TAGS or tag == "header" and not inside:
         return True
     for m in _ATTRIBUTE.finditer(attrs) if attrs else ():
@@ -76,15 +77,18 @@ def _boilerplate(tag: str, attrs: str, inside: bool) -> bool:
         if name in ("class", "id") and tag not in ("body", "html", "main"):
             words = set(re.split(r"[^a-z]+", value))
             if words & (BOILERPLATE_NAMES if tag != "article" else ARTICLE_LIKE_NAMES) or not inside and (words & HEADER_NAMES):
-                return True
-    return False
+                if not inside:
+                    return True
+                verdict = None
+    return verdict
 
 
 def blocks_of(page: str) -> list[Block]:
     """The blocks of text of a page in page order, with what their containers say."""
     found: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, boilerplate, in the article
+    stack: list[tuple[str, bool, bool, int]] = []  # tag, boilerplate, in the article, number of the named element
     bad = inside = False
+    named = last_named = 0
     link, breaks, heading = 0, 0, False
     block: Block | None = None
     at = 0
@@ -94,7 +98,7 @@ def blocks_of(page: str) -> list[Block]:
         if not piece or block is None and not piece.strip():
             return
         if block is None:
-            block = Block(bad, inside, heading)
+            block = Block(bad, inside, heading, named)
             found.append(block)
         block.parts.append(piece)
         if piece.strip():
@@ -133,16 +137,20 @@ def blocks_of(page: str) -> list[Block]:
                 stack.pop()
             if tag in CLOSED_BY and stack and stack[-1][0] in CLOSED_BY[tag].split():
                 stack.pop()
-            was_bad, was_in = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+            was_bad, was_in, was_named = stack[-1][1:] if stack else (False, False, 0)
             if not m["attrs"].rstrip().endswith("/"):
-                stack.append((tag, was_bad or _boilerplate(tag, m["attrs"], was_in), was_in or tag in ("article", "main") or "articlebody" in m["attrs"].lower()))
+                verdict = _boilerplate(tag, m["attrs"], was_in)
+                if verdict is None and not was_named:
+                    last_named += 1
+                    was_named = last_named
+                stack.append((tag, was_bad or bool(verdict), was_in or tag in ("article", "main") or "articlebody" in m["attrs"].lower(), was_named))
             if tag not in INLINE:
                 link = 0
-        now = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-        if now != (bad, inside):
+        now = stack[-1][1:] if stack else (False, False, 0)
+        if now != (bad, inside, named):
             block = None
-            bad, inside = now
-        heading = any(t in HEADINGS for t, _, _ in stack[-3:])
+            bad, inside, named = now
+        heading = any(t in HEADINGS for t, *_ in stack[-3:])
     put(page[at:])
     for b in found:
         b.text = " ".join(html.unescape("".join(b.parts)).split())
@@ -151,8 +159,19 @@ def blocks_of(page: str) -> list[Block]:
 
 def label(blocks: list[Block]) -> None:
     """Set the labels: True for the article's blocks."""
+    # inside the article a name decides only for an element of links, or without a long block
+    sums: dict[int, list[int]] = {}
+    for b in blocks:
+        if b.named:
+            of = sums.setdefault(b.named, [0, 0, 0])
+            of[:] = of[0] + b.linked, of[1] + len(b.text.replace(" ", "")), max(of[2], len(b.text))
+    for b in blocks:
+        if b.named:
+            linked, size, longest = sums[b.named]
+            b.bad = b.bad or linked > LINK_DENSITY * size or longest < LONG
     has_article = any(b.inside and not b.bad for b in blocks)
     # first pass: each block by itself
+    unknown = []
     for b in blocks:
         dense = b.linked > LINK_DENSITY * len(b.text.replace(" ", ""))
         if b.bad or dense or has_article and not b.inside:
@@ -163,7 +182,11 @@ def label(blocks: list[Block]) -> None:
             if stops >= STOP_DENSITY * len(words):
                 b.label = True
             elif not b.inside:
-                b.label = False
+                unknown.append(b)
+    # long blocks without known stop words: the article, if most text is in them; else their neighbours decide
+    if sum(len(b.text) for b in unknown) > sum(len(b.text) for b in blocks if b.label):
+        for b in unknown:
+            b.label = True
     # second pass: ambiguous blocks follow their neighbours
     decided = [(i, b.label) for i, b in enumerate(blocks) if b.label is not None]
     if has_article:  # neighbours within the article count; without a decided one there, its blocks stay
