@@ -2,11 +2,15 @@
 
 import collections
 import hashlib
+import html
+import os
 import re
+import time
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -110,8 +114,7 @@ def test_top_k_of_large_components_is_exact():
     for size in (1 << 22, 1 << 29, 1 << 37, 1 << 52):
         values = rng.integers(-size, size, (200, 8)) * rng.choice([1, 1 << 10], (200, 1))
         query = rng.integers(-20, 20, 8) if size > 1 << 37 else rng.integers(-(1 << 12), 1 << 12, 8)
-        table = pa.table({"vector": pa.array((values / 256.0).tolist(), pa.list_(pa.float64()))})
-        whole = topk_slices._quantised(table, 256.0)
+        whole = topk_slices._quantised(pa.chunked_array([pa.array((values / 256.0).tolist(), pa.list_(pa.float64()))]), 256.0)
         want = [[int(np.floor(256 * (int(x) / 256.0))) for x in v] for v in values]
         assert whole.tolist() == want
         exact = sorted((-sum(x * int(y) for x, y in zip(v, query, strict=True)), i) for i, v in enumerate(want))[:5]
@@ -123,7 +126,7 @@ def test_top_k_of_large_components_is_exact():
             with pytest.raises(OverflowError):
                 index.search(-1, query, 5)
     with pytest.raises(OverflowError):
-        topk_slices._quantised(pa.table({"vector": pa.array([[1e300]], pa.list_(pa.float64()))}), 256.0)
+        topk_slices._quantised(pa.chunked_array([pa.array([[1e300]], pa.list_(pa.float64()))]), 256.0)
 
 
 @pytest.mark.parametrize("block_rows", [64, 32768])
@@ -303,9 +306,55 @@ def test_html(spark):
     page = f"""<html><head><title>t</title><script>var a='</p>';</script></head><body><header><h1>Site</h1></header><nav><a href=x>Home</a></nav>
     <div id="cookie-notice">{text}</div><div class=content><h2>Title &amp;c</h2><p>{text}<p>Short &eacute;t&eacute;.<br><p>{text}  {text}</div>
     <aside>{text}</aside><section id="comments"><p>{text}</p></section><form>{text}</form><footer>{text}</footer>"""
-    rows = spark.createDataFrame([(1, page), (2, None), (3, ""), (4, "<article><p>Only this.</p><nav>no</nav></article><p>" + text), (5, "<!-- open")], "i int, html string")
-    got = [r[0] for r in rows.orderBy("i").select(html_main.extract(F.col("html"), spark)).collect()]
-    assert got == [f"Title &c\n\n{text}\n\nShort été.\n\n{text} {text}", "", "", "Only this.", ""]
+    long = f"<article>{f'<p>{text}</p>' * 3000}</article>"
+    rows = [(1, page), (2, None), (3, ""), (4, "<article><p>Only this.</p><nav>no</nav></article><p>" + text), (5, "<!-- open"), (6, page), (6, page), (None, "plain"), (7, long)]
+    frame = spark.createDataFrame([(i, h, "x") for i, h in rows], "i int, html string, text string")
+    got = [r[0] for r in frame.orderBy(F.col("i").asc_nulls_last()).select(html_main.extract(F.col("html"), spark)).collect()]
+    first = f"Title &c\n\n{text}\n\nShort été.\n\n{text} {text}"
+    assert got == [first, "", "", "Only this.", "", first, first, "\n\n".join([text] * 3000), "plain"]
+    assert frame.limit(0).select(html_main.extract(F.col("html"), spark)).count() == 0
+
+
+SAMPLE_PAGES = "/root/testdata/sf0.01/pages.parquet"
+
+
+def article_blocks(page):
+    """The text of a sample page's article, by what the sample's markup is known to be."""
+    inner = re.search(r"<article>(.*?)</article>", page, re.S)[1].replace("<br>", " ")
+    parts = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", x)).split()) for x in re.split(r"</?(?:p|h1)(?: [^>]*)?>", inner)]
+    return [p for p in parts if p]
+
+
+@pytest.mark.skipif(not os.path.exists(SAMPLE_PAGES), reason="no sample tables")
+def test_html_of_sample_pages_with_and_without_names_of_containers():
+    pages = pq.read_table(SAMPLE_PAGES)["html"].to_pylist()
+    want = [article_blocks(p) for p in pages]
+    assert [html_main.main_text(p).split("\n\n") for p in pages] == want
+    # containers without a name or class: text and links alone decide
+    bare = [re.sub(r"(</?)(?:article|nav|footer)\b", r"\1div", p).replace(' class="ad"', "") for p in pages]
+    found = [html_main.main_text(p).split("\n\n") for p in bare]
+    assert sum(f == w for f, w in zip(found, want, strict=True)) >= 0.8 * len(pages)
+    kept, there = sum(len(set(f) & set(w)) for f, w in zip(found, want, strict=True)), sum(map(len, map(set, want)))
+    extra = sum(len(set(f) - set(w)) for f, w in zip(found, want, strict=True))
+    assert kept >= 0.97 * there and extra <= 0.03 * there
+
+
+def test_html_second_pass_drops_and_keeps():
+    text = "The quick brown fox of the house was in the garden and it ran to the river with all of its friends"
+    links = "<ul>" + "".join(f"<li><a href=/{i}>Another page {i}</a></li>" for i in range(3)) + "</ul>"
+    page = f"<div>Menu</div>{links}<div>Sponsored now</div><h1>Title</h1><p>{text}</p><p>So it was.</p><p>{text}</p><h3>More</h3>{links}<div>Top</div>"
+    labels = {b.text: b.label for b in (lambda found: html_main.label(found) or found)(html_main.blocks_of(page))}
+    assert html_main.main_text(page) == f"Title\n\n{text}\n\nSo it was.\n\n{text}"
+    assert [labels[t] for t in ("Menu", "Sponsored now", "Title", "So it was.", "More", "Top")] == [False, False, True, True, False, False]
+    inside = f"<article><p>{text}</p><h3>More</h3>{links}<p>See also</p>{links}<h2>Then</h2><p>{text}</p><p>The end.</p></article>"
+    assert html_main.main_text(inside) == f"{text}\n\nThen\n\n{text}\n\nThe end."
+
+
+@pytest.mark.parametrize("page", ["<p '" * 250_000, "<p =\"" * 200_000, "<p =\"'>" * 150_000, "<div>" * 100_000 + "</section>" * 60_000, "<script " * 125_000, "<script>" * 125_000, "<" * 1_000_000, "<!--" * 250_000, "<b " * 300_000 + ">", "&#" + "1" * 900_000 + ";", "&#" + "0" * 9000 + "65;"])
+def test_html_takes_linear_time_on_broken_pages(page):
+    began = time.time()
+    html_main.main_text(page)
+    assert time.time() - began < 10
 
 
 def test_html_keeps_other_languages_and_named_sections_of_an_article():
@@ -320,3 +369,15 @@ def test_html_keeps_other_languages_and_named_sections_of_an_article():
 def test_crc_of_packed_ids_is_the_query_digest(spark):
     row = packing.pack(docs(spark, ["a b c"]), WORDS).select("ids", F.crc32("ids").alias("c")).head()
     assert row["c"] == zlib.crc32(bytes(row["ids"]))
+
+
+def test_top_k_of_mixed_lengths_repeated_ids_and_few_candidates(spark):
+    rows = [(0, [1.0, 1.0]), (1, [5e6, 0.0]), (2, [9e6, 0.0]), (2, [9e6, 0.0]), (100, [1.0, 2.0, 3.0]), (3, [1.0, 1.0, 1.0]), (4, [1.0]), (50, [0.5])]
+    df = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<double>, q string")
+    found = topk_slices.top_k(df, F.col("id") % 50 == 0, k=2)
+    want = {(0, 1, 2, 589824000000), (0, 2, 2, 589824000000), (100, 1, 3, 6 * 65536), (50, 1, 4, 32768)}
+    assert {tuple(r) for r in found.collect()} == want and found.count() == 4
+    for column in found.columns:  # whatever is read of the result
+        assert found.select(column).count() == 4
+        assert sorted(r[0] for r in found.select(column).collect()) == sorted(w[found.columns.index(column)] for w in want)
+    assert found.groupBy("vec_id").count().count() == 3
