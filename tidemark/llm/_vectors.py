@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -22,38 +22,45 @@ def valid_rows(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("id"), vector.alias("vector")).where(F.col("id").isNotNull() & F.col("vector").isNotNull() & (F.size("vector") > 0) & fine)
 
 
-def matrix(table: pa.Table) -> np.ndarray:
-    """The vectors of a group as a matrix."""
-    flat = table.column("vector").combine_chunks()
+def matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """Vectors of one length as a matrix."""
+    flat = column.combine_chunks()
     flat = flat.flatten() if isinstance(flat, pa.Array) else pa.concat_arrays([c.flatten() for c in flat.chunks])
-    return flat.to_numpy(zero_copy_only=False).reshape(table.num_rows, -1)
+    return flat.to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def search_blocks(rows: DataFrame, queries: DataFrame, function: Callable[[pa.Table, pa.Table], pa.Table], k: int, score_type: str, block_rows: int, query_rows: int) -> DataFrame:
+def best_of_each(found: DataFrame, k: int) -> DataFrame:
+    """query_id, rank, vec_id, score of each query's (``q``) best ``k`` of (q, query_id, vec_id, score); ties go to the smaller vec_id."""
+    place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))
+    return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def numbered(number: Column, parts: Column) -> Column:
+    """0 .. parts - 1 by a row's number: in turn within a partition, and not all partitions begin with 0."""
+    return F.pmod(number + F.shiftrightunsigned(number, 33), parts.cast("long")).cast("int")
+
+
+def search_blocks(rows: DataFrame, query: Column, function: Callable[[pa.Table, pa.Table], pa.Table], k: int, score_type: str, block_rows: int, query_rows: int) -> DataFrame:
     """query_id, rank, vec_id, score of each query row's best ``k`` over all blocks.
 
-    ``rows`` and ``queries`` have (id, vector); ``function`` gets a block and a query group, and returns
-    (q, query_id, vec_id, score) with the block's best ``k`` of each query. Vectors of another length
-    than the longest take no part. Ties go to the smaller vec_id.
+    ``rows`` has (id, vector); ``query`` says which rows are queries. Rows of one length (``d``) make up their
+    own blocks and groups. ``function`` gets a block (id, vector) and a query group (q, own, direction), and
+    returns (q, query_id, vec_id, score) with the block's best ``k`` of each query.
     """
-    spark = rows.sparkSession
-    facts = rows.agg(F.max(F.size("vector")).alias("d"), F.count(F.lit(1)).alias("n")).head()
-    size = facts["d"] or 0
-    rows, queries = (x.where(F.size("vector") == size) for x in (rows, queries))
-    blocks = max(1, -(-facts["n"] // block_rows))
-    groups = max(1, -(-queries.count() // query_rows))
+    sized = rows.withColumn("d", F.size("vector"))
+    # one row for each length of vector. n lengths take 4 n^2 bytes of table at least, so even 100 TB have no more than 5 million: safe to broadcast
+    facts = sized.groupBy("d").agg(F.count(F.lit(1)).alias("n"), F.count_if(query).alias("m")).where(F.col("m") > 0)
+    facts = facts.select("d", F.ceil(F.col("n") / block_rows).alias("blocks"), F.ceil(F.col("m") / query_rows).alias("groups"))
+    facts = F.broadcast(facts)
     number = F.monotonically_increasing_id()
-    shift = F.shiftrightunsigned(number, 33)  # else small partitions would all begin with block 0
-    left = rows.withColumn("block", F.pmod(number + shift, F.lit(blocks)).cast("int")).withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    right = queries.withColumn("q", number).withColumn("group", F.pmod(F.col("q") + F.shiftrightunsigned("q", 33), F.lit(groups)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    found = (
-        left.groupBy("block", "group")
-        .cogroup(right.groupBy("block", "group"))
-        .applyInArrow(function, f"q long, query_id long, vec_id long, score {score_type}")
-    )
-    found.createOrReplaceTempView("tidemark_found")
-    best = spark.sql(f"SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, vec_id) AS INT) AS rank FROM tidemark_found) WHERE rank <= {int(k)}")
-    return best.select("query_id", "rank", "vec_id", "score")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n).cast("int") - 1))
+    left = sized.withColumn("number", number).join(facts, "d").withColumn("block", numbered(F.col("number"), F.col("blocks"))).withColumn("group", upto("groups")).select("d", "block", "group", "id", "vector")
+    # names and attributes of its own: two sides that share them lose columns to the optimizer when few of the result's are read
+    asked = sized.where(query).select(F.col("id").alias("own"), F.col("vector").alias("direction"), F.col("d").alias("e"), number.alias("q"))
+    asked = asked.join(F.broadcast(facts.select(F.col("d").alias("e"), F.col("blocks").alias("e_blocks"), F.col("groups").alias("e_groups"))), "e")
+    right = asked.withColumn("e_group", numbered(F.col("q"), F.col("e_groups"))).withColumn("e_block", upto("e_blocks")).select("e", "e_block", "e_group", "q", "own", "direction")
+    found = left.groupBy("d", "block", "group").cogroup(right.groupBy("e", "e_block", "e_group")).applyInArrow(function, f"q long, query_id long, vec_id long, score {score_type}")
+    return best_of_each(found, k)
 
 
 def hits_table(q: list, query_id: list, vec_id: list, score: list, score_type: pa.DataType) -> pa.Table:

@@ -92,8 +92,8 @@ class Forest:
 def _search(block: pa.Table, queries: pa.Table, k: int, trees: int, gather: float) -> pa.Table:
     q, query_id, vec_id, score = [], [], [], []
     if block.num_rows and queries.num_rows:
-        forest = Forest(block.column("id").to_numpy(), matrix(block), trees, gather)
-        numbers, owns, vectors = queries.column("q").to_numpy(), queries.column("id").to_numpy(), matrix(queries)
+        forest = Forest(block.column("id").to_numpy(), matrix(block.column("vector")), trees, gather)
+        numbers, owns, vectors = queries.column("q").to_numpy(), queries.column("own").to_numpy(), matrix(queries.column("direction"))
         for at in range(0, len(owns), 256):
             first, end = forest.ranges(forest.strings(vectors[at : at + 256]))
             for i in range(at, min(at + 256, len(owns))):
@@ -113,8 +113,8 @@ def nearest(
     Nearness is the inner product in double precision. ``query`` says, over (``id``), which rows are
     queries. Candidates are all rows but those with the query's own id; if there are fewer than k, all
     are returned. Ties go to the smaller id. Rows with a null id, or a vector that is null, empty, zero,
-    shorter than the longest, or holds a null or non-finite component take no part. Every query row is
-    a query of its own. Each block of rows has a forest, and a query visits all of them. An empty table gives no rows.
+    or holds a null or non-finite component take no part. A query's candidates are the rows whose vectors
+    have its own vector's length. Every query row is a query of its own. Each block of rows has a forest, and a query visits all of them. An empty table gives no rows.
     """
     rows = valid_rows(df, id_col, vector_col).where(F.exists("vector", lambda x: x != 0))
-    return search_blocks(rows, rows.where(query), partial(_search, k=k, trees=trees, gather=gather), k, "double", block_rows, query_rows)
+    return search_blocks(rows, query, partial(_search, k=k, trees=trees, gather=gather), k, "double", block_rows, query_rows)

@@ -136,9 +136,9 @@ class SliceIndex:
         return self.ids[rows][best], scores[best]
 
 
-def _quantised(table: pa.Table, scale: float) -> np.ndarray:
+def _quantised(column: pa.ChunkedArray, scale: float) -> np.ndarray:
     with np.errstate(over="ignore"):
-        whole = np.floor(scale * matrix(table))
+        whole = np.floor(scale * matrix(column))
     if (np.abs(whole) >= 2.0**63).any():
         raise OverflowError("a component is beyond 64 bits after scaling")
     return whole.astype(np.int64)
@@ -147,8 +147,8 @@ def _quantised(table: pa.Table, scale: float) -> np.ndarray:
 def _search(block: pa.Table, queries: pa.Table, k: int, scale: float) -> pa.Table:
     q, query_id, vec_id, score = [], [], [], []
     if block.num_rows and queries.num_rows:
-        index = SliceIndex(block.column("id").to_numpy(), _quantised(block, scale))
-        for number, own, vector in zip(queries.column("q").to_pylist(), queries.column("id").to_pylist(), _quantised(queries, scale), strict=True):
+        index = SliceIndex(block.column("id").to_numpy(), _quantised(block.column("vector"), scale))
+        for number, own, vector in zip(queries.column("q").to_pylist(), queries.column("own").to_pylist(), _quantised(queries.column("direction"), scale), strict=True):
             ids, scores = index.search(own, vector, k)
             q.append(np.full(len(ids), number))
             query_id.append(np.full(len(ids), own))
@@ -163,9 +163,10 @@ def top_k(df: DataFrame, query: Column, id_col: str = "vec_id", vector_col: str
     Components become floor(scale * x); the score is the whole-number inner product. ``query`` says, over
     (``id``), which rows are queries. Candidates are all rows but those with the query's own id; fewer
     than k are returned only if there are fewer. Ties go to the smaller id. Rows with a null id, or a
-    vector that is null, empty, shorter than the longest, or holds a null or non-finite component take no part.
+    vector that is null, empty, or holds a null or non-finite component take no part. A query's candidates
+    are the rows whose vectors have its own vector's length; other lengths have no inner product with it.
     Every query row is a query of its own, repeated rows too, and repeated rows are candidates each.
     Components or scores beyond 64 bits, which SQL's BIGINT doesn't hold either, end the job with an error. An empty table gives no rows.
     """
     rows = valid_rows(df, id_col, vector_col)
-    return search_blocks(rows, rows.where(query), partial(_search, k=k, scale=scale), k, "long", block_rows, query_rows)
+    return search_blocks(rows, query, partial(_search, k=k, scale=scale), k, "long", block_rows, query_rows)
