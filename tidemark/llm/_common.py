@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -55,27 +58,46 @@ def slices(batches: Iterator[pa.RecordBatch], column: int, max_bytes: int = BATC
             at = upto
 
 
-_holding: dict[str, Callable[[], None]] = {}
+def _give_back() -> None:
+    """Return freed memory to the machine: Arrow's pool and glibc keep it otherwise."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
 
 
-def claim(name: str, release: Callable[[], None]) -> None:
-    """Say, in a Python worker, that an operator begins to fill its caches; the others' are released.
+def frees(*caches: Callable[[], None]) -> Callable:
+    """Decorates what a task does with its batches: when the task ends, a worker's caches are emptied.
 
-    Workers live on from one operator to the next, so their caches would add up otherwise.
+    Spark keeps workers from one operator to the next, idle ones too, so what they hold would add up.
+    Loading a vocabulary again costs a task about 0.1 s. ``caches`` have to be functions of a module:
+    a dict's own method would be sent to the worker with a copy of the dict.
     """
-    others = [n for n in _holding if n != name]
-    for n in others:
-        _holding.pop(n)()
-    _holding[name] = release
-    if others:
-        import ctypes
-        import gc
-
-        gc.collect()
-        try:
-            ctypes.CDLL(None).malloc_trim(0)  # glibc: give freed pages back
-        except (OSError, AttributeError):
-            pass
+
+    def wrap(function: Callable) -> Callable:
+        @wraps(function)
+        def run(batches: Iterator, *given, **options) -> Iterator:
+            try:
+                yield from function(batches, *given, **options)
+            finally:
+                for empty in caches:
+                    empty()
+                _give_back()
+
+        return run
+
+    return wrap
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Column names like these that ``df`` doesn't have, whatever its own are."""
+    there = {c.lower() for c in df.columns}
+    mark = "_tidemark"
+    while any(f"{mark}_{n}".lower() in there for n in names):
+        mark += "_"
+    return [f"{mark}_{n}" for n in names]
 
 
 def map_arrow(df: DataFrame, function: Callable, schema: str) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import word_tokens
-from tidemark.llm._common import map_arrow, slices
+from tidemark.llm._common import frees, map_arrow, slices
 
 #: Room for the numbers within a bucket below the bucket's own bits.
 BUCKET_SHIFT = 57
@@ -29,6 +29,7 @@ def piece_lengths(n: int, max_length: int) -> list[int]:
     return [max_length] * full + [1 << k for k in range(rest.bit_length() - 1, -1, -1) if rest >> k & 1]
 
 
+@frees(word_tokens.unload)
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, end_id: int, max_length: int) -> Iterator[pa.RecordBatch]:
     tokens = word_tokens.load(path)
     end = np.array([end_id], "<u4").tobytes()

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import bounded_batches, claim
+from tidemark.llm._common import bounded_batches, frees
 
 # The patterns of the contract.
 ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -155,8 +155,8 @@ def scan(text: Column, vocabulary: str, pattern: str, ratio: float = MAX_CHARS_P
     if spark is not None:
         bounded_batches(spark)
 
+    @frees()
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        claim("secret_scan", lambda: None)
         encoding = _encoding(vocabulary, pattern)
         for texts in parts:
             rows = []

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import claim, map_arrow, slices
+from tidemark.llm._common import frees, map_arrow, slices
 
 NONE = np.int64(1) << np.int64(40)
 SPACE = "▁"
@@ -78,7 +78,7 @@ class PairTable:
 class Encoder:
     """The vocabulary of one model file as arrays, with a cache of words met."""
 
-    def __init__(self, path: str, cache_words: int = 600_000):
+    def __init__(self, path: str, cache_words: int = 300_000):
         from sentencepiece import SentencePieceProcessor
         from sentencepiece import sentencepiece_model_pb2 as messages
 
@@ -210,12 +210,16 @@ _loaded: dict[str, Encoder] = {}
 
 def load(path: str) -> Encoder:
     """One per worker process and file."""
-    claim("sentencepiece_bpe", _loaded.clear)
     if path not in _loaded:
         _loaded[path] = Encoder(path)
     return _loaded[path]
 
 
+def unload() -> None:
+    _loaded.clear()
+
+
+@frees(unload)
 def _encode(batches: Iterator[pa.RecordBatch], path: str, end: bool) -> Iterator[pa.RecordBatch]:
     encoder = load(path)
     for batch in slices(batches, 1, 4 << 20):
@@ -237,6 +241,7 @@ def encode(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str
     return map_arrow(source, partial(_encode, path=model_path, end=end), f"doc_id {kind}, ids array<int>")
 
 
+@frees(unload)
 def _round_trip(batches: Iterator[pa.RecordBatch], path: str, end: bool) -> Iterator[pa.RecordBatch]:
     encoder = load(path)
     for batch in _encode(batches, path, end):
@@ -252,6 +257,7 @@ def round_trip(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col:
     return map_arrow(source, partial(_round_trip, path=model_path, end=end), f"doc_id {kind}, ids array<int>, decoded string")
 
 
+@frees(unload)
 def _decode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     encoder = load(path)
     for batch in batches:

@@ -15,8 +15,6 @@ import unicodedata
 
 import numpy as np
 
-from tidemark.llm._common import claim
-
 #: What the fast path may hold: ASCII without controls, and Latin letters and signs whose normal form and category are settled.
 _ODD = re.compile("[^\\t\\n\\r\\x20-\\x7e¡-įı-ſ]|<\\|")
 _RANGE = [chr(c) for c in [*range(0x21, 0x7F), *range(0xA1, 0x180)] if c != 0x130]
@@ -37,7 +35,7 @@ def _byte_letters() -> list[str]:
 class WordTokens:
     """Encodes texts; ``known`` has the ids of each word met, as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str, cache_words: int = 300_000):
+    def __init__(self, path: str, cache_words: int = 150_000):
         self.known: dict[str, bytes] = {}
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
@@ -78,7 +76,10 @@ _loaded: dict[str, WordTokens] = {}
 
 def load(path: str) -> WordTokens:
     """One per worker process and file."""
-    claim("word_tokens", _loaded.clear)
     if path not in _loaded:
         _loaded[path] = WordTokens(path)
     return _loaded[path]
+
+
+def unload() -> None:
+    _loaded.clear()
