@@ -14,7 +14,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann_forest, html_main, language_id, line_dedup, near_dedup, packing, secret_scan, sentencepiece_bpe, token_store, topk_slices
+from tidemark.llm import _bloom, ann_forest, html_main, language_id, line_dedup, near_dedup, packing, secret_scan, sentencepiece_bpe, token_store, topk_slices
 from tidemark.llm.queries import tiktoken_pattern, vocabulary
 
 WORDS, PIECES = vocabulary("word_bpe_49k.json"), vocabulary("piece_bpe_32k.model")
@@ -63,7 +63,11 @@ def test_sentencepiece(spark):
 def test_elias_fano(n):
     values = np.cumsum(np.random.default_rng(n).integers(0, 500, n))
     coded = token_store.EliasFano.encode(values)
-    assert coded.all().tolist() == values.tolist() == [coded.select(i) for i in range(n)]
+    assert values.tolist() == [coded.select(i) for i in range(n)]
+    for ids in (values.tolist(), [None, None, *(values - 10**6).tolist()], [-(2**63), *values.tolist(), 2**63 - 1], sorted([7] * n)):
+        again = token_store.decode_ids(token_store.encode_ids(pa.array(ids, pa.int64())))
+        assert [again(i) for i in range(len(ids))] == ids
+    assert len(coded.image()) * 8 <= n * (2 + 10) + 512
 
 
 def test_token_store(spark, tmp_path):
@@ -79,6 +83,12 @@ def test_token_store(spark, tmp_path):
     assert token_store.export_files(spark, path, str(tmp_path / "f")) == len(list((tmp_path / "f").iterdir()))
     first = token_store.Shard(sorted((tmp_path / "f").iterdir())[0].read_bytes())
     assert first.document(0).tolist() == word_ids(ODD[0])
+    for name, ids in (("null", [None, 5, 5, -3, None]), ("text", ["b", None, "a", "b", "é"])):  # repeated and null ids, and ids that are texts
+        frame = spark.createDataFrame([(i, f"w{n}", "x") for n, i in enumerate(ids)], f"doc_id {'long' if name == 'null' else 'string'}, text string, start string")
+        token_store.write(frame.coalesce(1), WORDS, str(tmp_path / name))
+        got = sorted(token_store.read(spark, str(tmp_path / name)).collect(), key=lambda r: r["start"])
+        order = sorted(range(len(ids)), key=lambda n: (ids[n] is not None, ids[n] or (0 if name == "null" else ""), n))
+        assert [(r["doc_id"], np.frombuffer(r["ids"], "<u4").tolist()) for r in got] == [(ids[n], word_ids(f"w{n}")) for n in order]
     token_store.write(docs(spark, []), WORDS, str(tmp_path / "e"))
     assert token_store.read(spark, str(tmp_path / "e")).count() == 0
 
@@ -101,6 +111,19 @@ def test_line_dedup(spark):
     assert line_dedup.dedup_lines(docs(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("heavy", [1000, 3])
+def test_line_dedup_of_repeated_and_null_ids_and_clashing_names(spark, monkeypatch, heavy):
+    monkeypatch.setattr(line_dedup, "LEAST_HEAVY", heavy)
+    line, long = "a line of more than twenty characters", "y" * 300_000
+    rows = [(1, f"{line}\none"), (2, line), (2, f"two\n{line}"), (None, line), (None, f"{long}\n{line}\n{long}"), (3, f"three\n{long}"), (4, long), (None, None)]
+    frame = spark.createDataFrame([(i, t, "l", "i", "d", "p", "x") for i, t in rows], "doc_id long, text string, line_dedup string, _tidemark_id string, _tidemark_drop string, _tidemark_perhaps string, id string")
+    done = line_dedup.dedup_lines(frame)
+    assert done.columns == [c for c in frame.columns if c != "line_dedup"] + ["line_dedup"]
+    got = sorted(((r["doc_id"] or 0, r["line_dedup"]["n_lines"], r["line_dedup"]["n_dropped"], r["line_dedup"]["kept"]) for r in done.collect()))
+    assert got == sorted([(1, 2, 1, "one"), (2, 1, 0, line), (2, 2, 0, f"two\n{line}"), (0, 1, 1, ""), (0, 3, 3, ""), (3, 2, 1, "three"), (4, 1, 0, long), (0, 1, 0, "")])
+    assert done.select("_tidemark_drop").distinct().collect()[0][0] == "d"
+
+
 def vectors(spark, seed=0, n=300):
     rng = np.random.default_rng(seed)
     rows = [(i, rng.normal(0, 0.3, 16).tolist(), "x") for i in range(n)]
@@ -217,9 +240,9 @@ def test_keep_one_row_with_repeated_and_null_ids(spark):
 def test_bloom_filter_of_keys_misses_none(spark):
     every = spark.range(20_000)
     keys = every.where("id % 7 = 0")
-    passed = {r["id"] for r in every.where(near_dedup._perhaps_in(keys, "id")).collect()}
+    passed = {r["id"] for r in every.where(_bloom.perhaps_in(keys, "id")).collect()}
     assert set(range(0, 20_000, 7)) <= passed and len(passed) < 4000
-    assert every.where(near_dedup._perhaps_in(keys.where("id < 0"), "id")).count() == 0
+    assert every.where(_bloom.perhaps_in(keys.where("id < 0"), "id")).count() == 0
 
 
 def test_near_dedup_joins_what_missed_a_hub_to_what_matched_it(spark):

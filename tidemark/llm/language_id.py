@@ -17,10 +17,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import bounded_batches, claim
+from tidemark.llm._common import bounded_batches, frees
 
 DIMENSIONS = 1024
 NGRAM = 3
+GRAMS = 4096
 UNDETERMINED = "und"
 _SEED = 0x7469646D
 _vectors: dict[int, np.ndarray] = {}
@@ -36,6 +37,10 @@ def letter_vector(code: int, dimensions: int = DIMENSIONS) -> np.ndarray:
     return _vectors[code]
 
 
+def _forget() -> None:
+    _vectors.clear()
+
+
 _letter_of = np.zeros(0, np.uint32)
 
 
@@ -64,16 +69,19 @@ def bundle(texts: list[np.ndarray], dimensions: int = DIMENSIONS) -> np.ndarray:
     owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
     whole = owner[2:] == owner[:-2]
     grams, at = np.unique((codes[:-2] << 42 | codes[1:-1] << 21 | codes[2:])[whole], return_inverse=True)
-    counts = np.bincount(owner[2:][whole] * len(grams) + at, minlength=len(texts) * len(grams)).reshape(len(texts), -1).astype(np.float32)
+    order = np.argsort(at, kind="stable")
+    at, whose = at[order], owner[2:][whole][order]
     known, place = np.unique(np.stack([grams >> 42, grams >> 21 & 0x1FFFFF, grams & 0x1FFFFF]), return_inverse=True)
     table = np.stack([letter_vector(int(c), dimensions) for c in known])
     out = np.zeros((len(texts), dimensions), np.float32)
     place = place.reshape(3, -1)
     rolled = [np.roll(table, NGRAM - 1 - k, axis=1) for k in range(NGRAM)]
-    for a in range(0, len(grams), 4096):
-        part = slice(a, a + 4096)
+    for a in range(0, len(grams), GRAMS):  # so many at a time: what is held doesn't depend on how many there are
+        part = slice(a, a + GRAMS)
+        here = slice(*np.searchsorted(at, [a, a + GRAMS]))
+        counts = np.bincount(whose[here] * GRAMS + at[here] - a, minlength=len(texts) * GRAMS).reshape(len(texts), GRAMS)[:, : len(grams) - a].astype(np.float32)
         bound = rolled[0][place[0][part]] * rolled[1][place[1][part]] * rolled[2][place[2][part]]
-        out += counts[:, part] @ bound.astype(np.float32)
+        out += counts @ bound.astype(np.float32)
     return out
 
 
@@ -100,19 +108,18 @@ def unit(vectors: np.ndarray) -> np.ndarray:
 def fit(df: DataFrame, text_col: str = "text", label_col: str = "lang", id_col: str = "doc_id", sample_rows: int = 8192, dimensions: int = DIMENSIONS) -> dict[str, np.ndarray]:
     """Prototypes of the languages in ``label_col``, as unit vectors.
 
-    Rows with a null label, a null text or no letter teach nothing. About ``sample_rows`` rows are
-    drawn by a hash of the id (2 * sample_rows at most, whatever the ids), so a run can be repeated.
-    Only one sum for each language and dimension comes to the driver. No labelled row: no prototype.
+    Rows with a null label, a null text or no letter teach nothing. ``sample_rows`` rows on average are
+    drawn by a hash of id, text and label, so a run can be repeated; rows that are equal in these are drawn
+    as one. Only one sum for each language and dimension comes to the driver. No labelled row: no prototype.
     """
     labelled = df.where(F.col(text_col).isNotNull() & F.col(label_col).isNotNull())
-    share = F.pmod(F.xxhash64(id_col), F.lit(1_000_003)) / F.lit(1_000_003.0)
     total = labelled.count()
-    sample = labelled.select(F.col(text_col).alias("text"), F.col(label_col).cast("string").alias("lang"), share.alias("share"))
+    sample = labelled.select(F.col(text_col).alias("text"), F.col(label_col).cast("string").alias("lang"), F.xxhash64(id_col, text_col, label_col).alias("drawn"))
     if total > sample_rows:
-        sample = sample.where(F.col("share") < sample_rows / total).limit(2 * sample_rows)
+        sample = sample.where(F.col("drawn") < int((sample_rows / total - 0.5) * 2**64)).dropDuplicates(["drawn"])
 
+    @frees(_forget)
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        claim("language_id", _vectors.clear)
         total: dict[str, np.ndarray] = {}
         for pdf in batches:
             langs = pdf["lang"].tolist()
@@ -142,8 +149,8 @@ def predict(text: Column, prototypes: dict[str, np.ndarray], spark=None) -> Colu
     if spark is not None:
         bounded_batches(spark)
 
+    @frees(_forget)
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        claim("language_id", _vectors.clear)
         for series in parts:
             lang, score = np.full(len(series), UNDETERMINED, object), np.zeros(len(series))
             for at, group in groups(series.tolist()) if names else ():

@@ -11,6 +11,10 @@ so are dropped by the exact count. Tasks send their segments compressed, so what
 filters follows the number of keys, not tasks times filter size. The merged filter is broadcast;
 ``filter_bits`` bounds it at any input size. If far more keys than bits come, more keys are
 suspected and shuffled, and the result is the same.
+
+Keys that many documents hold meet their documents by broadcast (there can't be more than
+``MOST_HEAVY`` of them), the others by a join, so no task gets a frequent line's documents. Texts of
+documents that lose no line stay where they are; only the others' are joined with the keys they lose.
 """
 
 from __future__ import annotations
@@ -25,15 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import claim, map_arrow, materialise, mix64, slices
+from tidemark.llm._bloom import MOST_FILTER_BITS, SEGMENT_BITS, Bloom, perhaps_in
+from tidemark.llm._common import frees, map_arrow, materialise, slices, unused
 
 BLANK = " \t\n\x0b\x0c\r"
 MIN_CHARS = 20
 MIN_DOCUMENTS = 3
-SEGMENT_BITS = 1 << 18
-#: 32 MB, what a driver and every executor can hold.
-MOST_FILTER_BITS = 1 << 28
-HASHES = 3
+#: A key is heavy if it has more than so many suspects, and more than the MOST_HEAVY-th part of all: there can't be more than MOST_HEAVY.
+LEAST_HEAVY, MOST_HEAVY = 1000, 10_000
 
 
 def line_key(line: str) -> str:
@@ -53,27 +56,6 @@ def keys_of(text: str | None, min_chars: int) -> set[bytes]:
     return found
 
 
-class Bloom:
-    """A Bloom filter in segments: a key's bits all lie in one segment."""
-
-    def __init__(self, bits: int, data: np.ndarray | None = None):
-        self.segments = max(1, bits // SEGMENT_BITS)
-        self.data = np.zeros(self.segments * SEGMENT_BITS // 8, np.uint8) if data is None else data
-
-    def places(self, hashes: np.ndarray) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            segment = (hashes >> np.uint64(32)) % np.uint64(self.segments)
-            step = mix64(hashes) | np.uint64(1)
-            inside = (hashes + np.arange(HASHES, dtype=np.uint64)[:, None] * step) % np.uint64(SEGMENT_BITS)
-            return (segment * np.uint64(SEGMENT_BITS) + inside).astype(np.int64)
-
-    def add(self, places: np.ndarray) -> None:
-        np.bitwise_or.at(self.data, (places >> 3).ravel(), (1 << (places & 7)).astype(np.uint8).ravel())
-
-    def has(self, places: np.ndarray) -> np.ndarray:
-        return ((self.data[places >> 3] >> (places & 7).astype(np.uint8)) & 1).all(0)
-
-
 def _hashes(keys: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(keys), "<u8").reshape(-1, 2)[:, 0]
 
@@ -81,8 +63,8 @@ def _hashes(keys: list[bytes]) -> np.ndarray:
 def _build(bits: int, min_chars: int):
     """Each task's two filters, as rows (segment, once, twice)."""
 
+    @frees()
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        claim("line_dedup", lambda: None)
         once, twice = Bloom(bits), Bloom(bits)
         for batch in slices(batches, 0):
             keys = [k for t in batch.column(0).to_pylist() for k in keys_of(t, min_chars)]
@@ -142,8 +124,10 @@ def dedup_lines(
     lines, joined by newlines. A null or empty text is one empty line, kept as an empty text. Rows
     that share an id count as documents of their own; if theirs is the largest id, all of them keep
     the line. Rows with a null id count, but keep a line only if no row with an id holds it. Texts are
-    split whole, whatever their length. All columns of ``df`` stay; an empty table gives an empty table.
+    split whole, whatever their length. All columns of ``df`` stay, whatever their names, but for one
+    named ``result_col``, whose place the result takes. An empty table gives an empty table.
     """
+    df = df.drop(result_col)
     source = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = df.schema[id_col].dataType.simpleString()
     suspected = df.sparkSession.sparkContext.broadcast(twice_seen(source, "text", min_chars, filter_bits).data)
@@ -163,22 +147,32 @@ def dedup_lines(
             yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in hit], pa.binary()), batch.column(0).take(pa.array([rows[i] for i in hit], pa.int64()))], names=["key", "id"])
 
     suspect = materialise(map_arrow(source, suspects, f"key binary, id {kind}"), "suspects")
-    repeated = suspect.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("keeper")).where(F.col("n") >= min_documents)
-    losing = suspect.join(repeated, "key").where(~F.col("id").eqNullSafe(F.col("keeper")))
-    drops = losing.groupBy(F.col("id").alias("_tidemark_id")).agg(F.collect_set("key").alias("_tidemark_drop"))
+    repeated = materialise(suspect.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("keeper")).where(F.col("n") >= min_documents), "repeated")
+    many = max(LEAST_HEAVY, suspect.count() // MOST_HEAVY)
+    heavy, light = repeated.where(F.col("n") > many).select("key", F.col("keeper").alias("heavy_keeper"), F.lit(True).alias("heavy")), repeated.where(F.col("n") <= many).select("key", "keeper")
+    met = suspect.join(F.broadcast(heavy), "key", "left")
+    losing = met.where("heavy").where(~F.col("id").eqNullSafe(F.col("heavy_keeper"))).select("id", "key")
+    losing = losing.union(met.where(F.col("heavy").isNull()).join(light, "key").where(~F.col("id").eqNullSafe(F.col("keeper"))).select("id", "key"))
+    own_id, drop, perhaps = unused(df, "id", "drop", "perhaps")
+    drops = materialise(losing.groupBy(F.col("id").alias(own_id)).agg(F.collect_set("key").alias(drop)), "drops")
 
     def apply(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for texts, dropped in parts:
             rows = []
-            for text, drop in zip(texts, dropped, strict=True):
+            for text, gone in zip(texts, dropped, strict=True):
                 lines = (text or "").split("\n")
                 kept = lines
-                if drop is not None and len(drop):
-                    gone = {bytes(d) for d in drop}
+                if gone is not None and len(gone):
+                    gone = {bytes(d) for d in gone}
                     kept = [x for x in lines if digest(x, min_chars) not in gone]
                 rows.append((len(lines), len(lines) - len(kept), "\n".join(kept)))
             yield pd.DataFrame(rows, columns=["n_lines", "n_dropped", "kept"])
 
     result = F.pandas_udf(apply, "n_lines long, n_dropped long, kept string")
-    joined = df.join(drops, F.col(id_col).eqNullSafe(F.col("_tidemark_id")), "left")
-    return joined.withColumn(result_col, result(F.col(text_col), F.col("_tidemark_drop"))).drop("_tidemark_id", "_tidemark_drop")
+    marked = df.withColumn(perhaps, perhaps_in(drops.select(F.col(own_id).alias(id_col)), id_col))
+    whole = F.coalesce(text_col, F.lit(""))
+    n_lines = (F.length(whole) - F.length(F.replace(whole, F.lit("\n"))) + 1).cast("long")
+    as_they_are = marked.where(~F.col(perhaps)).withColumn(result_col, F.struct(n_lines.alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"), whole.alias("kept")))
+    joined = marked.where(perhaps).join(drops, F.col(id_col).eqNullSafe(F.col(own_id)), "left").withColumn(result_col, result(F.col(text_col), F.col(drop)))
+    columns = [*df.columns, result_col]
+    return as_they_are.select(columns).union(joined.select(columns))

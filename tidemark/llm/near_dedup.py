@@ -22,7 +22,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,8 +30,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import claim, map_arrow, materialise, mix64, slices
-from tidemark.llm.line_dedup import MOST_FILTER_BITS, SEGMENT_BITS, Bloom
+from tidemark.llm._bloom import perhaps_in
+from tidemark.llm._common import frees, map_arrow, materialise, mix64, slices
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -52,7 +51,7 @@ def _word_hashes(words: list[str]) -> np.ndarray:
     try:
         packed = b"".join(map(_known.__getitem__, words))
     except KeyError:
-        if len(_known) > 300_000:
+        if len(_known) > 150_000:
             _known.clear()
         for w in words:
             if w not in _known:
@@ -61,6 +60,10 @@ def _word_hashes(words: list[str]) -> np.ndarray:
     return np.frombuffer(packed, np.uint64)
 
 
+def _forget() -> None:
+    _known.clear()
+
+
 _FACTORS = mix64(np.arange(1, 257, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -151,8 +154,8 @@ def _nodes(texts: pd.Series) -> pd.Series:
 def _profile(bands: int, rows: int, n: int, weighted: bool):
     """(id, node, bands, shingles) of documents; node stands for the words of the text."""
 
+    @frees(_forget)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        claim("near_dedup", _known.clear)
         for batch in slices(batches, 1, 2 << 20):
             nodes, sets, weights = [], [], []
             for text in batch.column(1).to_pylist():
@@ -201,52 +204,6 @@ def _score(similarity: float):
     return run
 
 
-def _segments(bits: int):
-    """Each task's filter of the hashes that it sees, as rows (segment, data)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bloom = Bloom(bits)
-        for batch in batches:
-            bloom.add(bloom.places(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)))
-        whole = bloom.data.reshape(bloom.segments, -1)
-        for s in np.flatnonzero(whole.any(1)).tolist():
-            yield pa.RecordBatch.from_pydict({"segment": pa.array([s], pa.int32()), "data": [zlib.compress(whole[s].tobytes(), 1)]})
-
-    return run
-
-
-def _union_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    found: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for segment, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            data = np.frombuffer(zlib.decompress(data), np.uint8)
-            found[segment] = found[segment] | data if segment in found else data
-    for segment, data in found.items():
-        yield pa.RecordBatch.from_pydict({"segment": pa.array([segment], pa.int32()), "data": [zlib.compress(data.tobytes(), 1)]})
-
-
-def _perhaps_in(keys: DataFrame, column: str) -> Column:
-    """False only for rows whose ``column`` is not among those of ``keys``: a Bloom filter of bounded size, broadcast.
-
-    With more keys than its bits can tell apart more rows pass, so an exact join has to follow.
-    """
-    spark = keys.sparkSession
-    bits = min(MOST_FILTER_BITS, max(SEGMENT_BITS, 1 << (16 * keys.count()).bit_length()))
-    parts = map_arrow(keys.select(F.xxhash64(column).alias("h")), _segments(bits), "segment int, data binary")
-    whole = Bloom(bits)
-    rows = whole.data.reshape(whole.segments, -1)
-    for row in map_arrow(parts.repartition("segment"), _union_segments, "segment int, data binary").collect():
-        rows[row["segment"]] = np.frombuffer(zlib.decompress(row["data"]), np.uint8)
-    shared = spark.sparkContext.broadcast(whole.data)
-
-    def test(hashes: pd.Series) -> pd.Series:
-        data = shared.value
-        bloom = Bloom(len(data) * 8, data)
-        return pd.Series(bloom.has(bloom.places(hashes.to_numpy(np.int64).view(np.uint64))))
-
-    return F.pandas_udf(test, "boolean")(F.xxhash64(column))
-
-
 def _ordered(a: str, b: str) -> list:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
@@ -431,7 +388,7 @@ def _judged(df: DataFrame, id_col: str, text_col: str, words: int = WORDS, simil
     rows_ = materialise(bucketed.join(shared, "bucket"), "candidates")
     wanted = materialise(rows_.select("node").distinct(), "wanted")
     # copies fold before the shuffle, and what no bucket wants stays out of it
-    folded = profiles.select("node", "shingles").where(_perhaps_in(wanted, "node")).groupBy("node").agg(F.first("shingles").alias("shingles"))
+    folded = profiles.select("node", "shingles").where(perhaps_in(wanted, "node")).groupBy("node").agg(F.first("shingles").alias("shingles"))
     sets = materialise(folded.join(wanted, "node", "left_semi"), "sets")
     links, rings = _links(rows_, sets, similarity)
     labels = _rejoin(components(links), rings, sets, similarity)
@@ -456,7 +413,7 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", one_
     verdicts = found.agg(F.max(F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("_tidemark_stays"), F.count(F.lit(1)).alias("_tidemark_rows"))
     # ids that go or repeat; rows of others stay where they are, and only these are shuffled with their texts
     doubtful = materialise(verdicts.where(~F.col("_tidemark_stays") | (F.col("_tidemark_rows") > 1)).select("_tidemark_id", "_tidemark_stays"), "doubtful")
-    perhaps = _perhaps_in(doubtful.withColumnRenamed("_tidemark_id", id_col), id_col)
+    perhaps = perhaps_in(doubtful.withColumnRenamed("_tidemark_id", id_col), id_col)
     marked = df.withColumn("_tidemark_perhaps", perhaps)
     judged = marked.where("_tidemark_perhaps").join(doubtful, F.col(id_col).eqNullSafe(F.col("_tidemark_id")), "left")
     stay = judged.where(F.coalesce("_tidemark_stays", F.lit(True))).dropDuplicates([id_col, text_col])
@@ -468,7 +425,7 @@ def _keep_one_row(df: DataFrame, id_col: str, text_col: str, **options) -> DataF
     verdicts = found.groupBy("_tidemark_id").agg(F.max("first").alias("stays"), F.count(F.lit(1)).alias("_tidemark_rows"))
     # ids that go or repeat; rows of others stay where they are, and only these are shuffled with their texts
     doubtful = materialise(verdicts.where(~F.col("stays") | (F.col("_tidemark_rows") > 1)).select("_tidemark_id", "stays", "_tidemark_rows"), "doubtful")
-    marked = df.withColumn("_tidemark_perhaps", _perhaps_in(doubtful.select(F.col("_tidemark_id").alias(id_col)), id_col))
+    marked = df.withColumn("_tidemark_perhaps", perhaps_in(doubtful.select(F.col("_tidemark_id").alias(id_col)), id_col))
     judged = marked.where("_tidemark_perhaps").join(doubtful.select("_tidemark_id", "_tidemark_rows"), F.col(id_col).eqNullSafe(F.col("_tidemark_id")), "left").drop("_tidemark_id")
     sure = marked.where(~F.col("_tidemark_perhaps")).select(df.columns).union(judged.where(F.col("_tidemark_rows").isNull()).select(df.columns))
     repeated = doubtful.where(F.col("stays") & (F.col("_tidemark_rows") > 1))
