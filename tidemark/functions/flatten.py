@@ -56,9 +56,8 @@ def flatten_rows(df: DataFrame, json_col: str, max_depth: int = 4, prefix: str =
             deeper = level.where(F.when(nested, F.raise_error(F.lit(f"JSON nests deeper than {max_depth}")).cast("boolean")).otherwise(False))
             found = found.union(deeper.select(*carried, F.lit("").alias("key"), F.lit("").alias("value")))
             break
-        level.createOrReplaceTempView("tidemark_level")
-        names = ", ".join(f"`{c}`" for c in [*carried, "_path"])
-        exploded = df.sparkSession.sql(f"SELECT {names}, t.key AS _key, t.pos AS _pos, t.value AS _v FROM tidemark_level, LATERAL variant_explode(_v) AS t(pos, key, value)")
+        parts = df.sparkSession.tvf.variant_explode(F.col("_v").outer()).toDF("_pos", "_key", "_part")
+        exploded = level.lateralJoin(parts).select(*carried, "_path", "_key", "_pos", F.col("_part").alias("_v"))
         name = F.coalesce("_key", F.col("_pos").cast("string"))
         path = F.concat("_path", name) if depth == 0 else F.concat("_path", F.lit(before), name, F.lit(after))
         level = exploded.select(*carried, "_v", path.alias("_path"))

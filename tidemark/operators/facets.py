@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import events as E
@@ -31,8 +31,7 @@ def facets(df: DataFrame, fields: dict[str, bool]) -> DataFrame:
 def facet(df: DataFrame, section: str, keys: list[str]) -> DataFrame:
     """(key, value, n, total) of one list of pairs; ``total`` counts the key's occurrences."""
     found = facets(df, dict.fromkeys(keys, False)).where(F.col("section") == section).drop("section")
-    totals = found.groupBy("key").agg(F.sum("n").alias("total"))
-    return found.join(totals, "key")
+    return found.withColumn("total", F.sum("n").over(Window.partitionBy("key")))  # over the counts: the events are read once
 
 
 def event_types(df: DataFrame) -> DataFrame:
@@ -70,6 +69,36 @@ def chart_bounds(from_second: int, to_second: int, width: int, step: int = SEGME
     return first * step // width * width, (last * step + DAY) // width * width
 
 
+def one_pass(df: DataFrame, fields: dict[str, bool], width: int = 0) -> DataFrame:
+    """(part, section, key, value, bucket, n, n_unique) of all parts of an aggregate in one reading of ``df``.
+
+    ``part`` is total, possible, facet or chart (with ``width``). Every event puts out its parts as one array; they
+    are counted before the shuffle, owners of a chart's bucket and type once each, then the owners are counted.
+    """
+    empty = F.lit(None).cast("string")
+
+    def piece(part: str, section=empty, key=empty, value=empty, owner=empty):
+        bucket = E.bucket(F.col("created_at_ns"), width) if part == "chart" else F.lit(None).cast("long")
+        return F.struct(F.lit(part).alias("part"), section.alias("section"), key.alias("key"), value.alias("value"), bucket.alias("bucket"), owner.alias("owner"))
+
+    keys, reserved = list(fields), ["event_type", "foreign_id"]
+    parts = [F.array(piece("total"))]
+    for name in ("search", "count"):
+        section = F.lit(name)
+        parts.append(F.transform(F.filter(name, lambda p: p["key"].isin(keys)), lambda p: piece("facet", section, p["key"], p["value"])))  # noqa: B023
+        parts.append(F.transform(F.filter(name, lambda p: ~p["key"].isin(reserved)), lambda p: piece("possible", key=p["key"])))
+    if fields.get("event_type"):
+        parts.append(F.array(piece("facet", F.lit("event_type"), F.lit("event_type"), F.col("event_type"))))
+    if fields.get("foreign_id"):
+        parts.append(F.array(piece("facet", F.lit("foreign_id"), F.col("foreign_type"), F.col("foreign_id"))))
+    if width:
+        owner = F.concat(F.length("foreign_type").cast("string"), F.lit(":"), F.col("foreign_type"), F.col("foreign_id"))
+        parts.append(F.array(piece("chart", value=F.col("event_type"), owner=owner)))
+    named = ["part", "section", "key", "value", "bucket"]
+    counted = df.select(F.explode(F.concat(*parts)).alias("p")).groupBy(*(F.col(f"p.{c}").alias(c) for c in [*named, "owner"])).agg(F.count(F.lit(1)).alias("n"))
+    return counted.groupBy(*named).agg(F.sum("n").alias("n"), F.count("owner").alias("n_unique"))
+
+
 def checked_range(from_second: int, to_second: int, step: int = SEGMENT_STEP, now: int | None = None) -> tuple[int, int]:
     first, last = segment_range(from_second, to_second, step, now)
     if first > last:

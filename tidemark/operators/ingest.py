@@ -12,8 +12,9 @@ from tidemark.schema import SEGMENT_STEP
 
 
 def validate(df: DataFrame) -> DataFrame:
-    """``df`` with ``error``: what the envelope lacks first, or an empty text."""
-    return df.withColumn("error", E.validation_error(F.col("foreign_id"), F.col("foreign_type"), F.col("event_type")))
+    """``df`` with ``error``: what the envelope lacks first, or an empty text. ``metadata_missing``, where there is such a column, comes first of all."""
+    missing = F.col("metadata_missing") if "metadata_missing" in df.columns else None
+    return df.withColumn("error", E.validation_error(F.col("foreign_id"), F.col("foreign_type"), F.col("event_type"), missing))
 
 
 def split_valid(df: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -28,7 +29,7 @@ def prepare(df: DataFrame, now_ns: int | None = None, step: int = SEGMENT_STEP,
     Events of ignored types and invalid ones are left out. A missing time is ``now_ns``.
     """
     if ignore_types:
-        df = df.where(~F.col("event_type").isin(list(ignore_types)))
+        df = df.where(~F.coalesce(F.col("event_type").isin(list(ignore_types)), F.lit(False)))
     valid, _ = split_valid(df)
     now = time.time_ns() if now_ns is None else now_ns
     created = F.when(F.coalesce("created_at_ns", F.lit(0)) == 0, F.lit(now)).otherwise(F.col("created_at_ns"))

@@ -49,8 +49,7 @@ def in_range(df: DataFrame, from_second: int, to_second: int, step: int = SEGMEN
     first, last = segment_range(from_second, to_second, step, now)
     found = df.where(F.col("segment").between(first, last))
     if "day" in df.columns:  # the partition column of a store
-        per_day = DAY // step
-        found = found.where(F.col("day").between(first // per_day, last // per_day))
+        found = found.where(F.col("day").between(first * step // DAY, last * step // DAY))
     if exact:
         found = found.where(E.seconds(F.col("created_at_ns")).between(from_second, to_second))
     return found
@@ -92,13 +91,15 @@ def list_segments(df: DataFrame, step: int = SEGMENT_STEP) -> DataFrame:
 
 def lookup_segment(df: DataFrame, ns: int, step: int = SEGMENT_STEP) -> DataFrame:
     """The events of the segment that holds an instant."""
-    return df.where(F.col("segment") == int(ns / 1_000_000_000) // step)
+    whole = abs(ns) // 1_000_000_000 // step  # whole numbers: a float can't hold nanoseconds
+    found = df.where(F.col("segment") == (whole if ns >= 0 else -whole))
+    return found.where(F.col("day") == math.floor((whole if ns >= 0 else -whole) * step / DAY)) if "day" in df.columns else found
 
 
-def postings(df: DataFrame) -> DataFrame:
-    """(field, term, segment, doc_seq) of every token, for stores that keep an inverted table."""
+def postings(df: DataFrame, *also: str) -> DataFrame:
+    """(field, term, segment, doc_seq) of every token, and the columns ``also``, for stores that keep an inverted table."""
     cut = F.split("token", "\u0001", 2)
-    return df.select("segment", "doc_seq", F.explode("tokens").alias("token")).select(cut[0].alias("field"), cut[1].alias("term"), "segment", "doc_seq")
+    return df.select("segment", "doc_seq", *also, F.explode("tokens").alias("token")).select(cut[0].alias("field"), cut[1].alias("term"), "segment", "doc_seq", *also)
 
 
 def search_postings(table: DataFrame, query: Query) -> DataFrame:

@@ -9,12 +9,15 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import events as E
 from tidemark.functions import text
-from tidemark.functions.flatten import flatten_rows
+from tidemark import scratch
+from tidemark.functions.flatten import flatten_rows, flatten_to_json
 from tidemark.operators import enrich, facets, search
-from tidemark.operators.ingest import prepare
+from tidemark.operators.ingest import prepare, validate
 from tidemark.plans.query import Query, all_of, any_of, best_of, match_all, predicate, score, term
 from tidemark.sources import envelopes
+from tidemark.sources.store import EventStore
 from tidemark.sources.tables import event_envelopes, order_envelopes, read
+from tidemark.streaming import pipeline
 
 NOW_NS = 1_706_745_600_000_000_000
 FROM, TO = 1704153601, 1704240001
@@ -38,7 +41,7 @@ def segment_assign(spark, d):
 
 
 def _tag(name: str):
-    return F.filter("search", lambda p: p["key"] == name)[0]["value"].alias(name.replace("-", "_"))
+    return F.get(F.filter("search", lambda p: p["key"] == name), F.lit(0))["value"].alias(name.replace("-", "_"))
 
 
 def ingest_prepare(spark, d):
@@ -148,7 +151,8 @@ def validate_envelopes(spark, d):
 
 
 def ingest_envelope_json(spark, d):
-    lines = event_envelopes(spark, d).select(envelopes.to_envelope_json().alias("line"))
+    e = event_envelopes(spark, d)
+    lines = e.select(envelopes.to_envelope_json(e).alias("line"))
     return envelopes.from_envelope_json(lines, "line").select(F.col("id").alias("event_id"), "event_type", "foreign_type", "foreign_id")
 
 
@@ -181,13 +185,232 @@ def geohash_points(spark, d):
 
 
 def chart_unique_approx(spark, d):
-    return facets.chart(events(spark, d), 86400, approximate=True)
+    """How far the estimate is from the exact count: within 15 %, three times its standard error, or not."""
+    exact, rough = (facets.chart(events(spark, d), 86400, approximate=a).withColumnRenamed("n_unique", name) for a, name in ((False, "exact"), (True, "rough")))
+    both = exact.join(rough.drop("n"), ["bucket", "event_type"])
+    return both.select("bucket", "event_type", "n", (F.abs(F.col("rough") - F.col("exact")) <= 0.15 * F.col("exact") + 1).alias("close"))
+
+
+def flatten_json(spark, d):
+    nested = F.format_string('{"order":{"id":%d,"tags":["a",{"status":"%s"}],"none":[]},"paid":true}', "o_orderkey", "o_orderstatus")
+    return read(spark, d, "orders").select("o_orderkey", flatten_to_json(nested).alias("flat"))
+
+
+def flatten_styles(spark, d):
+    nested = F.format_string('{"a":{"b":["%s"]}}', "o_orderstatus")
+    rows = read(spark, d, "orders").select("o_orderkey", nested.alias("json"))
+    parts = [flatten_rows(rows, "json", style=s, prefix="p:").withColumn("style", F.lit(s)) for s in ("dot", "path", "rails", "underscore")]
+    return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
+
+
+def stringify_values(spark, d):
+    nested = F.format_string('{"half":%d.5,"yes":true,"no":null,"text":"%s"}', "o_orderkey", "o_orderstatus")
+    return flatten_rows(read(spark, d, "orders").select("o_orderkey", nested.alias("json")), "json")
+
+
+def ingest_free_json(spark, d):
+    frame = F.format_string('{"search":{"customer_id":{"%d":true},"status":"%s"},"created_at_ns":%d,"foreign_id":"%d","foreign_type":"%s","event_type":"order","payload":{"a":1}}', "o_custkey", "o_orderstatus", F.lit(NOW_NS), "o_orderkey", F.when(F.col("o_custkey") % 10 == 0, "").otherwise("basket"))
+    return _pushable(spark, d, frame)
+
+
+def _pushable(spark, d, frame):
+    frames = envelopes.from_free_json(read(spark, d, "orders").select(frame.alias("json")), "json", NOW_NS)
+    done = prepare(frames.where("error = ''"), NOW_NS)
+    return done.select(F.col("foreign_id").cast("long").alias("o_orderkey"), "foreign_type", _tag("customer_id"), _tag("status"), _tag("year-month-day"), F.decode("payload", "UTF-8").alias("payload"))
+
+
+def free_json_errors(spark, d):
+    frame = F.when(F.col("o_orderkey") % 3 == 0, "{broken").when(F.col("o_orderkey") % 3 == 1, '{"foreign_id":"1","foreign_type":"t"}').otherwise('{"foreign_id":"1","foreign_type":"t","event_type":"e"}')
+    return envelopes.from_free_json(read(spark, d, "orders").select("o_orderkey", frame.alias("json")), "json", NOW_NS).select("o_orderkey", "error")
+
+
+def validate_envelope_json(spark, d):
+    line = F.when(F.col("o_orderkey") % 4 == 0, '{"payload":"aGk="}').when(F.col("o_orderkey") % 4 == 1, '{"metadata":{"search":[]}}').when(F.col("o_orderkey") % 4 == 2, '{"metadata":{"foreign_id":"1"}}').otherwise('{"metadata":{"foreign_id":"1","foreign_type":"t","event_type":"e"}}')
+    return validate(envelopes.from_envelope_json(read(spark, d, "orders").select("o_orderkey", line.alias("line")), "line")).select("o_orderkey", "error")
+
+
+def ingest_envelope_protobuf(spark, d):
+    """Messages with an owner, a type and a time, put together byte by byte."""
+    varint = lambda c: F.to_binary(F.concat(F.lpad(F.hex(c.bitwiseAND(F.lit(127)).bitwiseOR(F.lit(128))), 2, "0"), F.lpad(F.hex(F.shiftright(c, 7)), 2, "0")), F.lit("hex"))  # noqa: E731  of two bytes
+    text_field = lambda number, c: F.concat(F.lit(bytes([number << 3 | 2])), F.unhex(F.lpad(F.hex(F.octet_length(c)), 2, "0")), c.cast("binary"))
+    own = F.col("o_custkey").cast("string")
+    metadata = F.concat(F.lit(bytes([5 << 3])), varint(F.col("o_custkey") % 16000), text_field(7, F.lit("order")), text_field(9, own), text_field(10, F.lit("customer")))
+    message = F.concat(F.lit(b"\x0a"), F.unhex(F.lpad(F.hex(F.octet_length(metadata)), 2, "0")), metadata, F.lit(b"\x12\x02hi"))
+    parsed = envelopes.from_envelope_protobuf(read(spark, d, "orders").select("o_orderkey", message.alias("raw")), "raw")
+    return parsed.select("o_orderkey", "created_at_ns", "event_type", "foreign_type", "foreign_id", F.decode("payload", "UTF-8").alias("payload"), "metadata_missing")
+
+
+def hit_json(spark, d):
+    hits = search.fetch(events(spark, d), all_of(CLICK, SEVEN))
+    return hits.select(F.col("id").alias("event_id"), envelopes.to_hit_json(hits).alias("hit"))
+
+
+def value_to_text(spark, d):
+    return read(spark, d, "orders").select("o_orderkey", text.to_text(F.when(F.col("o_orderkey") % 2 == 0, F.col("o_custkey"))).alias("shown"))
+
+
+def fill_empty(spark, d):
+    pairs = F.array(E.kv("status", F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderstatus")).otherwise("")))
+    return read(spark, d, "orders").select("o_orderkey", E.filled(pairs)[0]["value"].alias("value"))
+
+
+def cleanup_names(spark, d):
+    name = F.concat(F.col("p_name"), F.lit(" (é.日) "), F.repeat(F.col("p_brand"), 8))
+    return read(spark, d, "part").select("p_partkey", text.cleanup(name).alias("cleaned"), text.cleanup(name, True).alias("with_dots"))
+
+
+def hash_text(spark, d):
+    """A hash is of the text alone, and different texts have different ones."""
+    names = read(spark, d, "part").select(F.col("p_name").alias("name"), text.hash_of(F.col("p_name")).alias("hash"))
+    return names.agg(F.count_distinct("name").alias("names"), F.count_distinct("hash").alias("hashes"), F.count_distinct("name", "hash").alias("pairs"))
+
+
+def pairs_parse(spark, d):
+    listed = F.format_string("key:%d,,status:%s,", "o_orderkey", "o_orderstatus")
+    return read(spark, d, "orders").select("o_orderkey", F.explode(text.pairs_of(listed)).alias("p")).select("o_orderkey", "p.key", "p.value")
+
+
+def digits_check(spark, d):
+    given = F.concat(F.col("o_orderkey").cast("string"), F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderstatus")).otherwise(""))
+    return read(spark, d, "orders").select("o_orderkey", text.is_digits(given).alias("digits"))
+
+
+def dump_json(spark, d):
+    return read(spark, d, "part").select("p_partkey", text.dump(F.struct("p_partkey", "p_name", "p_size")).alias("dump"), F.size(F.split(text.dump(F.struct("p_partkey", "p_name"), True), "\n")).alias("pretty_lines"))
+
+
+def shuffle_values(spark, d):
+    """The values after a shuffle, sorted again."""
+    values = F.array("o_orderstatus", "o_orderpriority", F.col("o_custkey").cast("string"))
+    return read(spark, d, "orders").select("o_orderkey", F.array_join(F.array_sort(text.shuffled(values)), "|").alias("sorted"))
+
+
+def _address():
+    return F.concat(F.lit("10."), (F.col("event_id") % 300).cast("string"), F.lit("."), (F.col("user_id") % 200).cast("string"), F.lit(".7"))
+
+
+def enrich_ip(spark, d):
+    given = F.when(F.col("event_id") % 5 == 0, F.array(E.kv("ip", "8.8.8.8"))).otherwise(F.array().cast("array<struct<key:string,value:string>>"))
+    e = read(spark, d, "events").withColumn("own", given)
+    first, instead = (F.filter(enrich.with_ip(F.col("own"), _address(), i), lambda p: p["key"] == "ip")[0]["value"] for i in (False, True))
+    return e.select("event_id", first.alias("ip"), instead.alias("replaced"))
+
+
+def enrich_place(spark, d):
+    start = (F.lit(10) * (1 << 24) + F.col("id") * (1 << 17)).cast("long")
+    ranges = spark.range(100).select(start.alias("start"), (start + (1 << 16) - 1).alias("end"), F.concat(F.lit("city"), F.col("id").cast("string")).alias("city"), F.lit("land").alias("country"))
+    e = read(spark, d, "events").select("event_id", _address().alias("address"), F.array().cast("array<struct<key:string,value:string>>").alias("search"))
+    return enrich.with_place(e, ranges, "address").select("event_id", _tag("geoip_city"), _tag("geoip_country"))
+
+
+def hit_ids(spark, d):
+    return read(spark, d, "events").select("event_id", E.hit_id(F.when(F.col("event_id") % 2 == 0, F.col("event_id")).otherwise(0), F.col("event_id") * 10).alias("hit_id"))
+
+
+def stream_ids(spark, d):
+    return read(spark, d, "events").select("event_id", E.stream_id(F.col("user_id") % 100, F.col("event_id")).alias("stream_id"))
+
+
+def bad_range(spark, d):
+    try:
+        facets.checked_range(TO, FROM)
+        said = ""
+    except ValueError as e:
+        said = str(e)
+    return spark.createDataFrame([(said,)], "error string")
+
+
+_stores: dict[tuple, EventStore] = {}
+
+
+def _store(spark, d, **options) -> EventStore:
+    """The events of a folder written to a store, once for each session."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _stores:
+        _stores[key] = EventStore(spark, scratch.path(spark, "store"), postings=True)
+        _stores[key].push(event_envelopes(spark, d).drop("doc_seq"), NOW_NS)
+    return EventStore(spark, _stores[key].path, **options) if options else _stores[key]
+
+
+def _asked(query: Query, **more) -> search.Request:
+    return search.Request(query, 1704067200, 1706745599, **more)
+
+
+def store_scan(spark, d):
+    return search.matches(_store(spark, d).events(), search.Request(match_all(), FROM, TO)).select(F.col("id").alias("event_id"), "segment")
+
+
+def store_cached_scan(spark, d):
+    return search.matches(_store(spark, d, cache=True).events(), search.Request(CLICK, FROM, TO)).select(F.col("id").alias("event_id"))
+
+
+def store_term_search(spark, d):
+    return search.matches(_store(spark, d).events(), _asked(SEVEN)).select(F.col("id").alias("event_id"))
+
+
+def store_postings_search(spark, d):
+    store = _store(spark, d)
+    found = store.search_postings(_asked(all_of(CLICK, SEVEN)))
+    return found.join(store.events().select("segment", "doc_seq", F.col("id").alias("event_id")), ["segment", "doc_seq"]).select("event_id")
+
+
+def store_search(spark, d):
+    found = _store(spark, d).search(_asked(any_of(term("event_type", "click", 2.0), SEVEN), limit=10))
+    return spark.createDataFrame([(h["hit_id"], h["score"], found["total"]) for h in found["hits"]], "event_id long, score double, total long")
+
+
+def store_fetch(spark, d):
+    return spark.createDataFrame([(h["id"],) for h in _store(spark, d).fetch(_asked(CLICK, limit=100))], "event_id long")
+
+
+def store_list_segments(spark, d):
+    return spark.createDataFrame([(s,) for s in _store(spark, d).list_segments()], "segment_start_ns long")
+
+
+def store_lookup_segment(spark, d):
+    """The segments that an instant's neighbours at both ends of an hour are in."""
+    at = FROM * 1_000_000_000 // (3600 * 10**9) * 3600 * 10**9
+    store = _store(spark, d)
+    parts = [store.lookup_segment(ns).select(F.col("id").alias("event_id"), F.lit(name).alias("edge")) for name, ns in (("before", at - 1), ("first", at), ("last", at + 3600 * 10**9 - 1))]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+def _aggregated(spark, d):
+    request = {"query": {"query": {"field": "event_type", "value": "click"}, "from_second": 1704067200, "to_second": 1706745599}, "fields": {"k": True, "event_type": True}, "time_bucket_sec": 86400, "sample_limit": 20}
+    return _store(spark, d).aggregate(request)
+
+
+def store_aggregate(spark, d):
+    out = _aggregated(spark, d)
+    none, zero = F.lit(""), F.lit(0).cast("long")
+    rows = [
+        out["total"].select(F.lit("total").alias("part"), none.alias("key"), none.alias("value"), F.col("total").alias("n"), zero.alias("n_unique")),
+        out["facets"].select(F.lit("facet"), "key", "value", "n", zero),
+        out["possible"].select(F.lit("possible"), "key", none, "n", zero),
+        out["chart"].select(F.lit("chart"), F.col("bucket").cast("string"), "event_type", "n", "n_unique"),
+    ]
+    return rows[0].union(rows[1]).union(rows[2]).union(rows[3])
+
+
+def store_aggregate_sample(spark, d):
+    return _aggregated(spark, d)["sample"].select(F.col("id").alias("event_id"), "created_at_ns")
+
+
+def stream_ingest(spark, d):
+    """Events that arrive as files, taken into a store by a stream."""
+    inbox, store = scratch.path(spark, "inbox"), EventStore(spark, scratch.path(spark, "streamed"))
+    event_envelopes(spark, d).drop("doc_seq").write.parquet(inbox)
+    pipeline.ingest(pipeline.read_files(spark, inbox), store, scratch.path(spark, "offsets"), now_ns=NOW_NS).awaitTermination()
+    return store.events().select(F.col("id").alias("event_id"), "created_at_ns", "event_type", "foreign_type", "foreign_id")
 
 
 _NAMED = (
     segment_assign, ingest_prepare, ingest_prepare_old_dates, flatten_kv, flatten_expand_id, list_segments, scan_match_all, scan_time_range, search_topk, search_total, fetch_limit, fetch_scan,
     aggregate_sample, aggregate_total, facet_search, facet_count, facet_event_type, facet_foreign_id, facet_possible, facets_one_pass, chart_count, chart_unique, chart_bounds, ignore_type, whitelist_search,
     validate_envelopes, ingest_envelope_json, lookup_segment, parse_pixel_path, cleanup_vw, postings_search, user_agent, geohash_points, chart_unique_approx,
+    flatten_json, flatten_styles, stringify_values, ingest_free_json, free_json_errors, validate_envelope_json, ingest_envelope_protobuf, hit_json, value_to_text, fill_empty, cleanup_names, hash_text,
+    pairs_parse, digits_check, dump_json, shuffle_values, enrich_ip, enrich_place, hit_ids, stream_ids, bad_range, store_scan, store_cached_scan, store_term_search, store_postings_search, store_search,
+    store_fetch, store_list_segments, store_lookup_segment, store_aggregate, store_aggregate_sample, stream_ingest,
 )
 
 _BY_QUERY = {
@@ -210,6 +433,23 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in _NAMED} | _BY_QUERY
 
 
+_ADDRESS = "'10.'||(event_id%300)||'.'||(user_id%200)||'.7'"
+_USER_AGENT = """
+SELECT event_id, v.key, CASE WHEN event_id%2=0 THEN v.browser ELSE v.tool END AS value FROM events, (VALUES
+  ('ua_is_bot','false','true'),('ua_is_mobile','false','false'),('ua_platform','X11',''),('ua_os','Linux',''),('ua_engine_name','AppleWebKit',''),('ua_engine_version','537.36',''),
+  ('ua_browser_name','Chrome',''),('ua_browser_version','120.0.0.0','')) v(key, browser, tool)
+"""
+_GEOHASH = """
+WITH p AS (SELECT event_id, least(CAST(floor((user_id%360-180+180.0)/360*32768) AS BIGINT),32767) AS x, least(CAST(floor((event_id%180-90+90.0)/180*32768) AS BIGINT),32767) AS y FROM events),
+b AS (SELECT event_id, i, CASE WHEN i%2=0 THEN (x>>(14-i//2))&1 ELSE (y>>(14-i//2))&1 END AS bit FROM p, (SELECT unnest(generate_series(0,29)) AS i)),
+l AS (SELECT event_id, i//5 AS l, sum(bit<<(4-i%5)) AS v FROM b GROUP BY 1,2)
+SELECT event_id, string_agg(substr('0123456789bcdefghjkmnpqrstuvwxyz',CAST(v+1 AS BIGINT),1),'' ORDER BY l) AS gh6 FROM l GROUP BY 1
+"""
+_HIT = """
+SELECT event_id, '{"id":"'||event_id||'","score":0.0,"metadata":{"search":[{"key":"k","value":"7"},{"key":"year","value":"'||strftime(ts,'%Y')||'"},{"key":"year-month","value":"'||strftime(ts,'%Y-%m')||'"},{"key":"year-month-day","value":"'||strftime(ts,'%Y-%m-%d')
+  ||'"},{"key":"year-month-day-hour","value":"'||strftime(ts,'%Y-%m-%d-%H')||'"}],"count":[{"key":"bucket","value":"'||CAST(CAST(round_even(value,0) AS BIGINT) AS VARCHAR)||'"}],"properties":[],"created_at_ns":"'||(epoch_us(ts)*1000)
+  ||'","event_type":"click","foreign_id":"'||user_id||'","foreign_type":"user","track":{},"id":"'||event_id||'"}}' AS hit FROM events WHERE event_type='click' AND json_extract_string(props,'$.k')='7'
+"""
 _K = "json_extract_string(props,'$.k')"
 _SEG = "(epoch_us(ts)//1000000)//3600"
 
@@ -266,4 +506,39 @@ def oracle_sql() -> dict[str, str]:
         "parse_pixel_path": "SELECT c_custkey, 'segment' AS key, c_mktsegment AS value FROM customer WHERE c_mktsegment<>''",
         "cleanup_vw": "SELECT p_partkey, regexp_replace(p_name,'[^0-9A-Za-z]','_','g') AS cleaned FROM part",
         "postings_search": f"{select} event_type='click' AND {_K}='7'",
+        "user_agent": _USER_AGENT,
+        "geohash_points": _GEOHASH,
+        "chart_unique_approx": "SELECT (epoch_us(ts)//1000000)//86400*86400 AS bucket, event_type, count(*) AS n, true AS close FROM events GROUP BY 1,2",
+        "flatten_json": """SELECT o_orderkey, '{"order.id":"'||o_orderkey||'","order.tags.0":"a","order.tags.1.status":"'||o_orderstatus||'","paid":"true"}' AS flat FROM orders""",
+        "flatten_styles": "SELECT o_orderkey, 'p:'||s.key AS key, o_orderstatus AS value, s.style FROM orders, (VALUES ('dot','a.b.0'),('path','a/b/0'),('rails','a[b][0]'),('underscore','a_b_0')) s(style,key)",
+        "stringify_values": "SELECT o_orderkey, v.key, CASE v.key WHEN 'half' THEN CAST(CAST(round_even(o_orderkey+0.5,0) AS BIGINT) AS VARCHAR) WHEN 'yes' THEN 'true' WHEN 'no' THEN '<nil>' ELSE o_orderstatus END AS value FROM orders, (VALUES ('half'),('yes'),('no'),('text')) v(key)",
+        "ingest_free_json": """SELECT o_orderkey, 'basket' AS foreign_type, CAST(o_custkey AS VARCHAR) AS customer_id, o_orderstatus AS status, '2024-02-01' AS year_month_day, '{"a":1}' AS payload FROM orders WHERE o_custkey%10<>0""",
+        "free_json_errors": "SELECT o_orderkey, CASE o_orderkey%3 WHEN 0 THEN 'bad json' WHEN 1 THEN 'missing event_type' ELSE '' END AS error FROM orders",
+        "validate_envelope_json": "SELECT o_orderkey, CASE o_orderkey%4 WHEN 0 THEN 'missing metadata' WHEN 1 THEN 'missing foreign_id' WHEN 2 THEN 'missing foreign_type' ELSE '' END AS error FROM orders",
+        "ingest_envelope_protobuf": "SELECT o_orderkey, o_custkey%16000 AS created_at_ns, 'order' AS event_type, 'customer' AS foreign_type, CAST(o_custkey AS VARCHAR) AS foreign_id, 'hi' AS payload, false AS metadata_missing FROM orders",
+        "hit_json": _HIT,
+        "value_to_text": "SELECT o_orderkey, CASE WHEN o_orderkey%2=0 THEN CAST(o_custkey AS VARCHAR) ELSE 'nil' END AS shown FROM orders",
+        "fill_empty": "SELECT o_orderkey, CASE WHEN o_orderkey%2=0 THEN o_orderstatus ELSE '__empty' END AS value FROM orders",
+        "cleanup_names": "WITH n AS (SELECT p_partkey, regexp_replace(p_name||' (é.日) '||repeat(p_brand,8),'日','','g') AS s FROM part) SELECT p_partkey, left(regexp_replace(s,'[^0-9A-Za-z:_-]','_','g'),64) AS cleaned, left(regexp_replace(s,'[^0-9A-Za-z:_.-]','_','g'),64) AS with_dots FROM n",
+        "hash_text": "SELECT count(DISTINCT p_name) AS names, count(DISTINCT p_name) AS hashes, count(DISTINCT p_name) AS pairs FROM part",
+        "pairs_parse": "SELECT o_orderkey, v.key, CASE v.key WHEN 'key' THEN CAST(o_orderkey AS VARCHAR) ELSE o_orderstatus END AS value FROM orders, (VALUES ('key'),('status')) v(key)",
+        "digits_check": "SELECT o_orderkey, o_orderkey%3<>0 AS digits FROM orders",
+        "dump_json": "SELECT p_partkey, CAST(to_json({'p_partkey':p_partkey,'p_name':p_name,'p_size':p_size}) AS VARCHAR) AS dump, 4 AS pretty_lines FROM part",
+        "shuffle_values": "SELECT o_orderkey, array_to_string(list_sort([o_orderstatus,o_orderpriority,CAST(o_custkey AS VARCHAR)]),'|') AS sorted FROM orders",
+        "enrich_ip": f"WITH a AS (SELECT event_id, CASE WHEN event_id%300<256 THEN {_ADDRESS} ELSE '<nil>' END AS own FROM events) SELECT event_id, CASE WHEN event_id%5=0 THEN '8.8.8.8' ELSE own END AS ip, own AS replaced FROM a",
+        "enrich_place": "WITH a AS (SELECT event_id, event_id%300 AS b FROM events) SELECT event_id, CASE WHEN b<200 AND b%2=0 THEN 'city'||(b//2) END AS geoip_city, CASE WHEN b<200 AND b%2=0 THEN 'land' END AS geoip_country FROM a",
+        "hit_ids": "SELECT event_id, CASE WHEN event_id%2=0 AND event_id<>0 THEN event_id ELSE event_id*10+1 END AS hit_id FROM events",
+        "stream_ids": "SELECT event_id, ((user_id%100)<<56)|event_id AS stream_id FROM events",
+        "bad_range": "SELECT 'bad date range, to_second must be older than from_second' AS error",
+        "store_scan": f"SELECT event_id, {_SEG} AS segment FROM events WHERE {_SEG} BETWEEN {FROM}//3600 AND {TO}//3600",
+        "store_cached_scan": f"{select} event_type='click' AND {_SEG} BETWEEN {FROM}//3600 AND {TO}//3600",
+        "store_term_search": f"{select} {_K}='7'",
+        "store_postings_search": f"{select} event_type='click' AND {_K}='7'",
+        "store_search": f"WITH s AS (SELECT event_id,{_SEG} seg, {scored} score, count(*) OVER () AS total FROM events WHERE {either}) SELECT CASE WHEN event_id=0 THEN 1 ELSE event_id END AS event_id, score, total FROM s ORDER BY score DESC, seg, event_id LIMIT 10",
+        "store_fetch": f"SELECT event_id FROM events WHERE event_type='click' ORDER BY {_SEG}, event_id LIMIT 100",
+        "store_list_segments": f"SELECT DISTINCT {_SEG}*3600*1000000000 AS segment_start_ns FROM events",
+        "store_lookup_segment": f"SELECT event_id, v.edge FROM events, (VALUES ('before',-1),('first',0),('last',0)) v(edge,s) WHERE {_SEG}={FROM}//3600+v.s",
+        "store_aggregate": f"WITH c AS (SELECT *, (epoch_us(ts)//1000000)//86400*86400 AS bucket FROM events WHERE event_type='click') SELECT 'total' AS part, '' AS key, '' AS value, count(*) AS n, 0::BIGINT AS n_unique FROM c UNION ALL SELECT 'facet', 'k', {_K}, count(*), 0 FROM c GROUP BY 3 UNION ALL SELECT 'facet', 'event_type', 'click', count(*), 0 FROM c UNION ALL SELECT 'possible', v.key, '', count(*), 0 FROM c, (VALUES ('k'),('bucket'),('year'),('year-month'),('year-month-day'),('year-month-day-hour'),('event_type'),('foreign_id')) v(key) GROUP BY 2 UNION ALL SELECT 'chart', CAST(bucket AS VARCHAR), event_type, count(*), count(DISTINCT user_id) FROM c GROUP BY 2,3",
+        "store_aggregate_sample": f"SELECT event_id, epoch_us(ts)*1000 AS created_at_ns FROM events WHERE event_type='click' ORDER BY {_SEG}, event_id LIMIT 20",
+        "stream_ingest": f"SELECT event_id, epoch_us(ts)*1000 AS created_at_ns, event_type, 'user' AS foreign_type, {owner} AS foreign_id FROM events",
     }
