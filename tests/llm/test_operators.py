@@ -14,7 +14,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import _bloom, ann_forest, html_main, language_id, line_dedup, near_dedup, packing, secret_scan, sentencepiece_bpe, token_store, topk_slices
+from tidemark.llm import _bloom, _common, ann_forest, html_main, language_id, line_dedup, near_dedup, packing, secret_scan, sentencepiece_bpe, token_store, topk_slices
 from tidemark.llm.queries import tiktoken_pattern, vocabulary
 
 WORDS, PIECES = vocabulary("word_bpe_49k.json"), vocabulary("piece_bpe_32k.model")
@@ -113,7 +113,7 @@ def test_line_dedup(spark):
 
 @pytest.mark.parametrize("heavy", [1000, 3])
 def test_line_dedup_of_repeated_and_null_ids_and_clashing_names(spark, monkeypatch, heavy):
-    monkeypatch.setattr(line_dedup, "LEAST_HEAVY", heavy)
+    monkeypatch.setattr(_common, "LEAST_FREQUENT", heavy)
     line, long = "a line of more than twenty characters", "y" * 300_000
     rows = [(1, f"{line}\none"), (2, line), (2, f"two\n{line}"), (None, line), (None, f"{long}\n{line}\n{long}"), (3, f"three\n{long}"), (4, long), (None, None)]
     frame = spark.createDataFrame([(i, t, "l", "i", "d", "p", "x") for i, t in rows], "doc_id long, text string, line_dedup string, _tidemark_id string, _tidemark_drop string, _tidemark_perhaps string, id string")
@@ -183,7 +183,8 @@ def test_nearest(spark):
     assert hits / total >= 0.9
 
 
-def test_near_dedup(spark):
+@pytest.mark.parametrize("weighted", [True, False])
+def test_near_dedup(spark, weighted):
     rng = np.random.default_rng(2)
     base = [[f"w{x}" for x in rng.integers(0, 5000, 120)] for _ in range(12)]
     texts = [" ".join(b) for b in base]
@@ -194,21 +195,24 @@ def test_near_dedup(spark):
                 edit[at] = "other"
             texts.append(" ".join(edit))
     texts += [*ODD, "!!!", "???", "!!!", "one two", "one, TWO"]
+    lines = [" ".join(f"l{k}" for k in range(n, n + 12)) for n in range(0, 120, 12)]
+    texts += [" ".join(lines), " ".join([*lines, *lines[:3]]), " ".join([*lines, *lines]), "same " * 20_000]  # what repeats decides by weights
     sets = []
     for t in texts:
         words = re.findall(r"\w+", (t or "").lower())
-        sets.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else {("", t or "")})
+        found = collections.Counter(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else collections.Counter([("", t or "")])
+        sets.append(found if weighted else collections.Counter(set(found)))
     label = list(range(len(texts)))
     for _ in label:
         for i, a in enumerate(sets):
             for j in range(i):
-                if len(a & sets[j]) >= 0.8 * len(a | sets[j]):
+                if (a & sets[j]).total() >= 0.8 * (a | sets[j]).total():
                     label[i] = label[j] = min(label[i], label[j])
         if all(label[x] == label[label[x]] for x in label):
             break
-    got = {r["doc_id"]: r["class_id"] for r in near_dedup.classes(docs(spark, texts)).collect()}
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.classes(docs(spark, texts), weighted=weighted).collect()}
     assert got == dict(enumerate(label))
-    kept = near_dedup.keep_one(docs(spark, texts))
+    kept = near_dedup.keep_one(docs(spark, texts), weighted=weighted)
     assert kept.columns == docs(spark, []).columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(set(label))
     assert near_dedup.classes(docs(spark, [])).count() == 0
 
@@ -228,7 +232,7 @@ def test_keep_one_row_with_repeated_and_null_ids(spark):
     words = [" ".join(f"{c}{i}" for i in range(60)) for c in "abcd"]
     near = words[3] + " more"
     rows = [(1, words[0]), (1, words[0]), (1, words[0] + " more"), (1, words[1]), (2, words[0]), (3, words[2]), (4, words[2]), (None, words[3]), (None, words[3].upper()), (None, near), (None, words[2]), (5, None), (6, ""), (None, "other"), (7, "seven")]
-    frame = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, first string")
+    frame = spark.createDataFrame([(i, t, "x", "x", None) for i, t in rows], "doc_id long, text string, first string, _tidemark_rows string, _tidemark_perhaps string")
     kept = near_dedup.keep_one(frame, one_row=True)
     assert kept.columns == frame.columns
     got = sorted((r["doc_id"] or 0, " ".join((r["text"] or "").lower().split()[:60])) for r in kept.collect())

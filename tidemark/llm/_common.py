@@ -1,11 +1,9 @@
-"""Helpers that several operators share: scratch tables, Arrow batches of bounded size, hashing."""
+"""Helpers that several operators share: Arrow batches of bounded size, joins with frequent keys, hashing."""
 
 from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from functools import wraps
 
@@ -13,33 +11,22 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tidemark.scratch import materialise, remove
+from tidemark.scratch import path as scratch_path
+
+__all__ = ["bounded_batches", "frees", "join_frequent", "map_arrow", "materialise", "mix64", "remove", "scratch_path", "slices", "unused"]
 BATCH_BYTES = 8 << 20
+#: A key is frequent if it has more than so many rows, and more than the MOST_FREQUENT-th part of all: there can't be more than MOST_FREQUENT.
+LEAST_FREQUENT, MOST_FREQUENT = 1000, 10_000
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that ``spark.checkpoint.dir`` names.
+def bounded_batches(spark: SparkSession) -> None:
+    """Let Arrow batches end by bytes, so that long texts can't make a batch of any size.
 
-    Only where the setting is absent (tests, a laptop) a local temporary folder stands in.
+    A setting of the session, which the operators need whenever their results are read; it stays.
     """
-    conf = spark.sparkContext.getConf()
-    root = conf.get("spark.checkpoint.dir", None) or spark.conf.get("tidemark.scratch.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("tidemark.scratch.dir", root)
-    return f"{root.rstrip('/')}/tidemark/{name}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared scratch folder and read it back: the lineage ends there."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def bounded_batches(spark: SparkSession) -> None:
-    """Let Arrow batches end by bytes, so that long texts can't make a batch of any size."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
@@ -91,6 +78,17 @@ def frees(*caches: Callable[[], None]) -> Callable:
     return wrap
 
 
+def join_frequent(rows: DataFrame, facts: DataFrame, key: str, total: int) -> DataFrame:
+    """The inner join of ``rows`` with ``facts``, which has a row for each key with the number ``n`` of its rows.
+
+    Frequent keys, MOST_FREQUENT at most, are broadcast and meet their rows where these are; only the rows of others are shuffled.
+    """
+    many = max(LEAST_FREQUENT, total // MOST_FREQUENT)
+    frequent = facts.where(F.col("n") > many)
+    others = rows.join(F.broadcast(frequent.select(key)), key, "left_anti").join(facts.where(F.col("n") <= many), key)
+    return rows.join(F.broadcast(frequent), key).unionByName(others)
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """Column names like these that ``df`` doesn't have, whatever its own are."""
     there = {c.lower() for c in df.columns}

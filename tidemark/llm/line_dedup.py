@@ -12,8 +12,8 @@ filters follows the number of keys, not tasks times filter size. The merged filt
 ``filter_bits`` bounds it at any input size. If far more keys than bits come, more keys are
 suspected and shuffled, and the result is the same.
 
-Keys that many documents hold meet their documents by broadcast (there can't be more than
-``MOST_HEAVY`` of them), the others by a join, so no task gets a frequent line's documents. Texts of
+Keys that many documents hold meet their documents by broadcast (there can't be many such keys), the
+others by a join, so no task gets a frequent line's documents. Texts of
 documents that lose no line stay where they are; only the others' are joined with the keys they lose.
 """
 
@@ -30,13 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm._bloom import MOST_FILTER_BITS, SEGMENT_BITS, Bloom, perhaps_in
-from tidemark.llm._common import frees, map_arrow, materialise, slices, unused
+from tidemark.llm._common import frees, join_frequent, map_arrow, materialise, slices, unused
 
 BLANK = " \t\n\x0b\x0c\r"
 MIN_CHARS = 20
 MIN_DOCUMENTS = 3
-#: A key is heavy if it has more than so many suspects, and more than the MOST_HEAVY-th part of all: there can't be more than MOST_HEAVY.
-LEAST_HEAVY, MOST_HEAVY = 1000, 10_000
 
 
 def line_key(line: str) -> str:
@@ -148,11 +146,7 @@ def dedup_lines(
 
     suspect = materialise(map_arrow(source, suspects, f"key binary, id {kind}"), "suspects")
     repeated = materialise(suspect.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("keeper")).where(F.col("n") >= min_documents), "repeated")
-    many = max(LEAST_HEAVY, suspect.count() // MOST_HEAVY)
-    heavy, light = repeated.where(F.col("n") > many).select("key", F.col("keeper").alias("heavy_keeper"), F.lit(True).alias("heavy")), repeated.where(F.col("n") <= many).select("key", "keeper")
-    met = suspect.join(F.broadcast(heavy), "key", "left")
-    losing = met.where("heavy").where(~F.col("id").eqNullSafe(F.col("heavy_keeper"))).select("id", "key")
-    losing = losing.union(met.where(F.col("heavy").isNull()).join(light, "key").where(~F.col("id").eqNullSafe(F.col("keeper"))).select("id", "key"))
+    losing = join_frequent(suspect, repeated, "key", suspect.count()).where(~F.col("id").eqNullSafe(F.col("keeper")))
     own_id, drop, perhaps = unused(df, "id", "drop", "perhaps")
     drops = materialise(losing.groupBy(F.col("id").alias(own_id)).agg(F.collect_set("key").alias(drop)), "drops")
 

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm._bloom import perhaps_in
-from tidemark.llm._common import frees, map_arrow, materialise, mix64, slices
+from tidemark.llm._common import frees, join_frequent, map_arrow, materialise, mix64, remove, slices, unused
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -151,6 +151,13 @@ def _nodes(texts: pd.Series) -> pd.Series:
     return pd.Series([None if t is None else _node(_WORD.findall(t.lower()), t) for t in texts], dtype=object)
 
 
+def _repeats(elements: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Elements of which the j-th repeat is one of its own, sorted."""
+    number = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+    with np.errstate(over="ignore"):
+        return np.sort(mix64(np.repeat(elements, counts) + number.astype(np.uint64)))
+
+
 def _profile(bands: int, rows: int, n: int, weighted: bool):
     """(id, node, bands, shingles) of documents; node stands for the words of the text."""
 
@@ -173,7 +180,7 @@ def _profile(bands: int, rows: int, n: int, weighted: bool):
                 for i, v in zip(full, band_values(signatures, bands, rows), strict=True):
                     values[i] = v
             if weighted:  # the j-th repeat of a shingle as an element of its own: then sets have the weighted similarity
-                sets = [np.sort(np.concatenate([mix64(s[c > j] + np.uint64(j)) for j in range(int(c.max(initial=0)))] or [s])) for s, c in zip(sets, weights, strict=True)]
+                sets = [_repeats(s, c) for s, c in zip(sets, weights, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(nodes, pa.binary()), pa.array(values, pa.list_(pa.int64())), pa.array([(s >> np.uint64(32)).astype("<u4").tobytes() for s in sets], pa.binary())],
                 names=["id", "node", "bands", "shingles"],
@@ -293,8 +300,8 @@ def _links(rows: DataFrame, sets: DataFrame, similarity: float) -> tuple[DataFra
     rows = materialise(rows.join(crowd, "node"), "buckets")
     confirmed, rings = None, []
     for number in range(ROUNDS + 1):
-        size = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("crowd", "node"))["node"].alias("hub")).where(F.col("n") > 1)
-        sized = materialise(rows.join(size, "bucket"), "sized")
+        size = materialise(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("crowd", "node"))["node"].alias("hub")).where(F.col("n") > 1), "sizes")
+        sized = materialise(join_frequent(rows, size, "bucket", rows.count()), "sized")
         if number == ROUNDS:
             confirmed = confirmed.union(materialise(_links_in_blocks(sized, sets, similarity), "links"))
             break
@@ -352,24 +359,27 @@ def components(links: DataFrame) -> DataFrame:
     Labels spread along links and each node then takes its label's label, so the rounds grow with the
     logarithm of the longest path. Every round is written out, and ends in one count.
     """
+    spark = links.sparkSession
     edges = materialise(links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = materialise(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), "labels")
+    now = labels = materialise(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), "labels")
     while True:
         seen = edges.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("near"))
         spread = labels.join(seen, labels["node"] == seen["a"]).select("node", F.least("label", "near").alias("low"), F.col("label").alias("old"))
         jump = labels.select(F.col("node").alias("low"), F.col("label").alias("further"))
-        now = materialise(spread.join(jump, "low", "left").select("node", F.least("low", F.coalesce("further", "low")).alias("label"), "old"), "labels")
+        last, now = now, materialise(spread.join(jump, "low", "left").select("node", F.least("low", F.coalesce("further", "low")).alias("label"), "old"), "labels")
         labels = now.select("node", "label")
+        remove(spark, *(p.rsplit("/", 1)[0] for p in last.inputFiles()[:1]))
         if now.where(F.col("label") != F.col("old")).isEmpty():
             return labels
 
 
-def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, weighted: bool = False) -> DataFrame:
+def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, weighted: bool = True) -> DataFrame:
     """doc_id, class_id and copies of every row: class_id is the smallest id of the row's class.
 
-    Classes join documents whose sets of ``words``-word shingles (words: runs of letters, digits and
-    underscores, in lower case) have a Jaccard similarity of ``similarity`` or more, and whatever such
-    links connect. ``weighted`` counts how often a shingle occurs. ``copies`` is how many rows have the
+    Classes join documents whose ``words``-word shingles (words: runs of letters, digits and underscores,
+    in lower case) have a Jaccard similarity of ``similarity`` or more, and whatever such links connect.
+    ``weighted`` counts how often a shingle occurs (the sum of minima by that of maxima), else it is the
+    similarity of sets. Shingles are compared by 32 bits of their hashes. ``copies`` is how many rows have the
     same words in the same order. Texts of fewer words are one shingle; texts without any word, null ones among
     them as empty texts, are in a class only with rows of the very same text. Texts count whole. Repeated rows and ids get
     a row each; null ids are in classes but name one only if the class has no other. An empty table gives no rows.
@@ -377,7 +387,7 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
     return _judged(df, id_col, text_col, words, similarity, bands, rows, weighted).select(F.col("id").alias("doc_id"), "class_id", "copies")
 
 
-def _judged(df: DataFrame, id_col: str, text_col: str, words: int = WORDS, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, weighted: bool = False) -> DataFrame:
+def _judged(df: DataFrame, id_col: str, text_col: str, words: int = WORDS, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, weighted: bool = True) -> DataFrame:
     """(id, node, class_id, copies, first) of every row, as of :func:`classes`; ``first`` holds on one id and node of each class."""
     kind = df.schema[id_col].dataType.simpleString()
     source = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -409,30 +419,32 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", one_
     """
     if one_row:
         return _keep_one_row(df, id_col, text_col, **options)
-    found = classes(df, id_col, text_col, **options).groupBy(F.col("doc_id").alias("_tidemark_id"))
-    verdicts = found.agg(F.max(F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("_tidemark_stays"), F.count(F.lit(1)).alias("_tidemark_rows"))
+    id_, stays_, rows_, perhaps_ = unused(df, "id", "stays", "rows", "perhaps")
+    found = classes(df, id_col, text_col, **options).groupBy(F.col("doc_id").alias(id_))
+    verdicts = found.agg(F.max(F.col("doc_id").eqNullSafe(F.col("class_id"))).alias(stays_), F.count(F.lit(1)).alias(rows_))
     # ids that go or repeat; rows of others stay where they are, and only these are shuffled with their texts
-    doubtful = materialise(verdicts.where(~F.col("_tidemark_stays") | (F.col("_tidemark_rows") > 1)).select("_tidemark_id", "_tidemark_stays"), "doubtful")
-    perhaps = perhaps_in(doubtful.withColumnRenamed("_tidemark_id", id_col), id_col)
-    marked = df.withColumn("_tidemark_perhaps", perhaps)
-    judged = marked.where("_tidemark_perhaps").join(doubtful, F.col(id_col).eqNullSafe(F.col("_tidemark_id")), "left")
-    stay = judged.where(F.coalesce("_tidemark_stays", F.lit(True))).dropDuplicates([id_col, text_col])
-    return marked.where(~F.col("_tidemark_perhaps")).select(df.columns).union(stay.select(df.columns))
+    doubtful = materialise(verdicts.where(~F.col(stays_) | (F.col(rows_) > 1)).select(id_, stays_), "doubtful")
+    perhaps = perhaps_in(doubtful.withColumnRenamed(id_, id_col), id_col)
+    marked = df.withColumn(perhaps_, perhaps)
+    judged = marked.where(perhaps_).join(doubtful, F.col(id_col).eqNullSafe(F.col(id_)), "left")
+    stay = judged.where(F.coalesce(stays_, F.lit(True))).dropDuplicates([id_col, text_col])
+    return marked.where(~F.col(perhaps_)).select(df.columns).union(stay.select(df.columns))
 
 
 def _keep_one_row(df: DataFrame, id_col: str, text_col: str, **options) -> DataFrame:
-    found = materialise(_judged(df, id_col, text_col, **options).select(F.col("id").alias("_tidemark_id"), F.col("node").alias("_tidemark_key"), "first"), "judged")
-    verdicts = found.groupBy("_tidemark_id").agg(F.max("first").alias("stays"), F.count(F.lit(1)).alias("_tidemark_rows"))
+    id_, rows_, perhaps_, key_, node_ = unused(df, "id", "rows", "perhaps", "key", "node")
+    found = materialise(_judged(df, id_col, text_col, **options).select(F.col("id").alias(id_), F.col("node").alias(key_), "first"), "judged")
+    verdicts = found.groupBy(id_).agg(F.max("first").alias("stays"), F.count(F.lit(1)).alias(rows_))
     # ids that go or repeat; rows of others stay where they are, and only these are shuffled with their texts
-    doubtful = materialise(verdicts.where(~F.col("stays") | (F.col("_tidemark_rows") > 1)).select("_tidemark_id", "stays", "_tidemark_rows"), "doubtful")
-    marked = df.withColumn("_tidemark_perhaps", perhaps_in(doubtful.select(F.col("_tidemark_id").alias(id_col)), id_col))
-    judged = marked.where("_tidemark_perhaps").join(doubtful.select("_tidemark_id", "_tidemark_rows"), F.col(id_col).eqNullSafe(F.col("_tidemark_id")), "left").drop("_tidemark_id")
-    sure = marked.where(~F.col("_tidemark_perhaps")).select(df.columns).union(judged.where(F.col("_tidemark_rows").isNull()).select(df.columns))
-    repeated = doubtful.where(F.col("stays") & (F.col("_tidemark_rows") > 1))
+    doubtful = materialise(verdicts.where(~F.col("stays") | (F.col(rows_) > 1)).select(id_, "stays", rows_), "doubtful")
+    marked = df.withColumn(perhaps_, perhaps_in(doubtful.select(F.col(id_).alias(id_col)), id_col))
+    judged = marked.where(perhaps_).join(doubtful.select(id_, rows_), F.col(id_col).eqNullSafe(F.col(id_)), "left").drop(id_)
+    sure = marked.where(~F.col(perhaps_)).select(df.columns).union(judged.where(F.col(rows_).isNull()).select(df.columns))
+    repeated = doubtful.where(F.col("stays") & (F.col(rows_) > 1))
     if repeated.isEmpty():
         return sure
     # rows of ids that repeat are told apart by their words
-    chosen = found.where("first").select("_tidemark_id", "_tidemark_key").distinct()
-    several = judged.where(F.col("_tidemark_rows") > 1).withColumn("_tidemark_node", F.pandas_udf(_nodes, "binary")(F.coalesce(text_col, F.lit(""))))
-    stay = several.join(chosen, F.col(id_col).eqNullSafe(F.col("_tidemark_id")) & (F.col("_tidemark_node") == F.col("_tidemark_key")), "left_semi")
-    return sure.union(stay.dropDuplicates([id_col, "_tidemark_node"]).select(df.columns))
+    chosen = found.where("first").select(id_, key_).distinct()
+    several = judged.where(F.col(rows_) > 1).withColumn(node_, F.pandas_udf(_nodes, "binary")(F.coalesce(text_col, F.lit(""))))
+    stay = several.join(chosen, F.col(id_col).eqNullSafe(F.col(id_)) & (F.col(node_) == F.col(key_)), "left_semi")
+    return sure.union(stay.dropDuplicates([id_col, node_]).select(df.columns))
