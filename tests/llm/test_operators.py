@@ -165,13 +165,62 @@ def test_top_k(spark, block_rows):
     assert topk_slices.signed_digits(7) == [(0, -1), (3, 1)]
 
 
-def test_nearest(spark):
+def recall_and_share(ids, table, queries, k=20, gather=ann_forest.GATHER):
+    """Recall of one forest against brute force, and the share of the rows that it scores."""
+    norms = (table**2).sum(1)
+    lift = np.sqrt(np.maximum(norms.max() - norms, 0))
+    forest = ann_forest.Forest(ids, table, np.ascontiguousarray(ann_forest.strings(table, lift, ann_forest.TREES).T), gather)
+    own = ann_forest.strings(table[queries], np.zeros(len(queries)), ann_forest.TREES).T
+    first, end = forest.ranges(own)
+    hits, share = [], []
+    for i, q in enumerate(queries):
+        met = forest.candidates(first[:, :, i], end[:, :, i])
+        scores = np.where(np.arange(len(ids)) == q, -np.inf, table @ table[q])
+        hits.append(met[np.lexsort((ids, -scores))[:k]].mean())
+        share.append(met.mean())
+    return float(np.mean(hits)), float(np.mean(share))
+
+
+def test_forest_scores_a_falling_share():
+    rng = np.random.default_rng(5)
+    shares = []
+    for n in (2000, 10_000, 40_000):
+        table = rng.standard_normal((n, 64))
+        table /= np.linalg.norm(table, axis=1, keepdims=True)
+        recall, share = recall_and_share(np.arange(n), table, np.arange(0, n, n // 100))
+        shares.append(share)
+        assert recall >= 0.88 and recall >= share + 0.4  # a random sample of that share would have a recall of the share
+    assert shares[0] > 1.4 * shares[1] > 1.4 * 1.4 * shares[2]
+    # with clusters few candidates do, and norms that differ are no hindrance
+    centres = rng.standard_normal((400, 64))
+    table = centres[rng.integers(0, 400, 20_000)] + 0.35 * rng.standard_normal((20_000, 64))
+    recall, share = recall_and_share(np.arange(20_000), table * rng.uniform(0.8, 1.25, (20_000, 1)), np.arange(0, 20_000, 200), gather=2.0)
+    assert recall >= 0.9 and share <= 0.05
+
+
+@pytest.mark.parametrize("folder", ["sf0.01", "sf0.1"])
+def test_nearest_of_the_sample_tables(spark, folder):
+    path = f"/root/testdata/{folder}/embeddings.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no sample tables")
+    rows = pq.read_table(path).to_pylist()
+    good = [(r["vec_id"], np.array(r["embedding"], float)) for r in rows if r["embedding"] is not None and all(x is not None and np.isfinite(x) for x in r["embedding"])]
+    ids, table = np.array([i for i, _ in good]), np.stack([v for _, v in good])
+    got = collections.defaultdict(set)
+    for r in ann_forest.nearest(spark.read.parquet(path), F.col("id") % 20 == 0).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    hits = [len(got[q] & set(ids[np.lexsort((ids, -np.where(ids == q, -9, table @ v)))[:20]])) for q, v in good if q % 20 == 0]
+    assert np.mean(hits) / 20 >= 0.9
+
+
+@pytest.mark.parametrize("block_rows", [700, 65536])
+def test_nearest(spark, block_rows):
     rows, df = vectors(spark, 1, 3000)
     good = [(i, np.array(v, np.float32).astype(float)) for i, v, _ in rows if i is not None and v and all(x is not None and x == x for x in v) and any(v)]
     ids, table = np.array([i for i, _ in good]), np.stack([v for _, v in good])
     hits, total = 0, 0
     got = collections.defaultdict(list)
-    for r in ann_forest.nearest(df, F.col("id") % 20 == 0, block_rows=5000).collect():
+    for r in ann_forest.nearest(df, F.col("id") % 20 == 0, block_rows=block_rows, query_rows=64).collect():
         got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
     assert set(got) == {i for i, _ in good if i % 20 == 0}
     for q, found in got.items():
@@ -183,6 +232,18 @@ def test_nearest(spark):
     assert hits / total >= 0.9
 
 
+def test_nearest_of_mixed_lengths_repeated_ids_and_few_candidates(spark):
+    rows = [(0, [1.0, 1.0]), (1, [5.0, 0.0]), (2, [9.0, 0.0]), (2, [9.0, 0.0]), (20, [1.0, 2.0, 3.0]), (3, [1.0, 1.0, 1.0]), (4, [-1.0]), (40, [0.5]), (60, [0.0, 0.0]), (80, [1e200, 1e200, 0.0, 1.0])]
+    df = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<double>, strings string")
+    found = ann_forest.nearest(df, F.col("id") % 20 == 0)
+    want = {(0, 1, 2, 9.0), (0, 2, 2, 9.0), (0, 3, 1, 5.0), (20, 1, 3, 6.0), (40, 1, 4, -0.5)}
+    assert sorted(tuple(r) for r in found.collect()) == sorted([*want]) and found.count() == 5
+    for column in found.columns:
+        assert found.select(column).count() == 5
+        assert sorted(r[0] for r in found.select(column).collect()) == sorted(w[found.columns.index(column)] for w in want)
+    assert ann_forest.nearest(df.limit(0), F.col("id") % 20 == 0).count() == 0
+
+
 @pytest.mark.parametrize("weighted", [True, False])
 def test_near_dedup(spark, weighted):
     rng = np.random.default_rng(2)
