@@ -469,3 +469,67 @@ def test_top_k_of_mixed_lengths_repeated_ids_and_few_candidates(spark):
         assert found.select(column).count() == 4
         assert sorted(r[0] for r in found.select(column).collect()) == sorted(w[found.columns.index(column)] for w in want)
     assert found.groupBy("vec_id").count().count() == 3
+
+
+def test_planted_random_strings_are_found_and_readable_ones_are_not():
+    rng = np.random.default_rng(8)
+    alphabets = {"letters": "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "lower": "abcdefghijklmnopqrstuvwxyz", "mixed": "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "base64": "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"}
+    uuid, md5 = "550e8400-e29b-41d4-a716-446655440000", "d41d8cd98f00b204e9800998ecf8427e"
+    for name, letters in alphabets.items():
+        keys = ["".join(rng.choice(list(letters), rng.integers(24, 65))) for _ in range(300)]
+        assert np.mean([bool(f) for f in found_secrets(*(f"see {k} there" for k in keys))]) >= 0.97, name
+        for beside in (uuid, md5):
+            assert np.mean([bool(f) for f in found_secrets(*(f"see {k}-{beside} there" for k in keys))]) >= 0.95, (name, beside)
+    words = "house river garden project update account config setting document language reader printer service server client request response handler manager builder factory context session token".split()
+    readable = ["-".join(rng.choice(words, rng.integers(4, 9))) for _ in range(300)] + ["".join(w.title() for w in rng.choice(words, rng.integers(3, 6))) for _ in range(300)] + ["/".join(rng.choice(words, rng.integers(4, 9))) + f"/v{i % 9}" for i in range(300)]
+    assert np.mean([bool(f) for f in found_secrets(*(f"see {k} there" for k in readable))]) <= 0.01
+    assert found_secrets(uuid, md5, f"{uuid}/{md5}") == [[], [], []]
+
+
+def test_secret_scan_of_empty_tables_long_texts_and_repeated_rows(spark):
+    key = "Zx8Qp2Lk9Vw3Rt7Yb5Nm1Hc6Jd4Fg0S"
+    long = "plain words " * 100_000
+    rows = [(1, long + key, "x"), (1, long + key, "x"), (None, key, "x")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, spans string")
+    scan = secret_scan.scan(F.col("text"), vocabulary("byte_bpe_50k.tiktoken"), tiktoken_pattern(), spark=spark)
+    assert sorted(r[0] for r in frame.select(scan["spans"]).collect()) == sorted([f"random:0:{len(key)}", *[f"random:{len(long)}:{len(long) + len(key)}"] * 2])
+    assert frame.limit(0).select(scan["spans"]).count() == 0
+
+
+def test_bundles_are_the_sums_of_bound_letters():
+    texts = ["the house of the old man", "ein haus", "日本の家 und más", "aaa aaa aaa"]
+    found = language_id.bundle([language_id.letters(t) for t in texts], 256)
+    for text, vector in zip(texts, found, strict=True):
+        codes = language_id.letters(text).tolist()
+        want = np.zeros(256, int)
+        for grams in zip(codes, codes[1:], codes[2:], strict=False):
+            want += np.prod([np.roll(language_id.letter_vector(c, 256), 2 - k) for k, c in enumerate(grams)], axis=0)
+        assert vector.tolist() == want.tolist()
+
+
+def test_language_id_of_long_texts_and_repeated_rows(spark):
+    en, de = "the house of the old man was near the river", "der alte mann wohnte in einem haus"
+    han = "".join(map(chr, np.random.default_rng(1).integers(0x4E00, 0x9FA5, 60_000)))
+    rows = [(1, en, "en"), (1, en, "en"), (1, de, "de"), (None, de, "de"), (2, f"{en} " * 8000, None), (3, han, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    one, two = (language_id.fit(frame.repartition(n), sample_rows=2) for n in (1, 3))
+    assert all((one[lang] == two[lang]).all() for lang in one) and one.keys() == two.keys()
+    prototypes = language_id.fit(frame)
+    got = frame.select("doc_id", "text", language_id.predict(F.col("text"), prototypes, spark)["lang_pred"].alias("p")).collect()
+    assert [r["p"] for r in got if r["text"] != han] == ["en", "en", "de", "de", "en"]
+
+
+def test_packing_and_sentencepiece_of_repeated_and_null_ids(spark):
+    rows = [(7, "a b c", "x"), (7, "a b c", "x"), (None, "d", "x"), (None, None, "x")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, ids string")
+    packed = packing.pack(frame, WORDS).collect()
+    assert len({r["sequence_id"] for r in packed}) == len(packed)
+    whole = collections.Counter((r["doc_id"], r["doc_tokens"]) for r in packed for _ in range(r["length"]))
+    assert whole == {(7, len(word_ids("a b c"))): 2 * len(word_ids("a b c")), (None, len(word_ids("d"))): len(word_ids("d")), (None, 1): 1}
+    assert sorted((r["doc_id"] or 0, r["decoded"]) for r in sentencepiece_bpe.round_trip(frame, PIECES).collect()) == [(0, ""), (0, "d"), (7, "a b c"), (7, "a b c")]
+
+
+def test_packed_sequences_are_written_by_length(spark, tmp_path):
+    packing.write_buckets(packing.pack(docs(spark, ODD), WORDS), str(tmp_path / "b"))
+    lengths = {int(p.name.split("=")[1]): {len(x) // 4 for x in pq.read_table(p)["ids"].to_pylist()} for p in (tmp_path / "b").iterdir() if p.is_dir()}
+    assert lengths and all(found == {1 << bucket} for bucket, found in lengths.items())

@@ -330,6 +330,7 @@ def _rejoin(labels: DataFrame, rings: list[DataFrame], sets: DataFrame, similari
     placed = rings[0]
     for more in rings[1:]:
         placed = placed.union(more)
+    placed = materialise(placed, "placed")
     own = labels.select("node", "label")
     of_hub = labels.select(F.col("node").alias("hub"), F.col("label").alias("hub_label"))
     missed = placed.where(F.col("near") < similarity).join(own, "node", "left").join(of_hub, "hub", "left")
@@ -337,12 +338,15 @@ def _rejoin(labels: DataFrame, rings: list[DataFrame], sets: DataFrame, similari
     if missed.isEmpty():
         return labels
     # of the matches, those that the nearest miss of their ring allows
+    matched = placed.where(F.col("near") >= similarity)
     nearest = missed.groupBy("ring").agg(F.max("near").alias("most"), F.count(F.lit(1)).alias("n_missed"))
-    hits = placed.where(F.col("near") >= similarity).join(nearest, "ring").where(F.col("near") <= F.col("most") + (1 - similarity + 1e-9))
+    nearest = materialise(nearest.join(matched.groupBy("ring").agg(F.count(F.lit(1)).alias("n")), "ring"), "nearest")
+    hits = join_frequent(matched, nearest, "ring", matched.count()).where(F.col("near") <= F.col("most") + (1 - similarity + 1e-9))
     hits = materialise(hits.select("ring", "node", "near", "n_missed"), "hits")
     counted = hits.groupBy("ring").agg(F.count(F.lit(1)).alias("n_hit"), F.first("n_missed").alias("n_missed"))
+    counted = materialise(counted.withColumn("n", F.col("n_hit") + F.col("n_missed")), "counted")
     both = hits.select("ring", "node", "near", F.lit(False).alias("missed")).union(missed.select("ring", "node", "near", F.lit(True)))
-    across = materialise(_links_across(both.join(counted, "ring"), sets, similarity), "links")
+    across = materialise(_links_across(join_frequent(both, counted, "ring", both.count()), sets, similarity), "links")
     if across.isEmpty():
         return labels
     # classes as nodes: only those that a new link touches take part
