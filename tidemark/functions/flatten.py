@@ -42,25 +42,24 @@ def flatten_rows(df: DataFrame, json_col: str, max_depth: int = 4, prefix: str =
     """
     before, after = STYLES[style]
     carried = [c for c in df.columns if c != json_col]
-    level = df.select(*carried, F.try_parse_json(F.col(json_col)).alias("_v"), F.lit(prefix).alias("_path"))
-    found = None
-    for depth in range(max_depth + 1):
+
+    def is_nested():
         kind = F.schema_of_variant("_v")
-        nested = kind.startswith("OBJECT") | kind.startswith("ARRAY")
-        if depth:
-            text = F.when(kind == "VOID", "<nil>").when(kind.isin("STRING", "BOOLEAN"), F.variant_get("_v", "$", "string")).otherwise(rounded(F.try_variant_get("_v", "$", "double")))
-            leaves = level.where(~nested).select(*carried, F.col("_path").alias("key"), text.alias("value"))
-            found = leaves if found is None else found.union(leaves)
-        level = level.where(nested)
-        if depth == max_depth:
-            deeper = level.where(F.when(nested, F.raise_error(F.lit(f"JSON nests deeper than {max_depth}")).cast("boolean")).otherwise(False))
-            found = found.union(deeper.select(*carried, F.lit("").alias("key"), F.lit("").alias("value")))
-            break
-        parts = df.sparkSession.tvf.variant_explode(F.col("_v").outer()).toDF("_pos", "_key", "_part")
-        exploded = level.lateralJoin(parts).select(*carried, "_path", "_key", "_pos", F.col("_part").alias("_v"))
+        return kind.startswith("OBJECT") | kind.startswith("ARRAY")
+
+    level = df.select(*carried, F.try_parse_json(F.col(json_col)).alias("_v"), F.lit(prefix).alias("_path")).where(is_nested())
+    for depth in range(max_depth):
+        # one pass: a container gives way to its parts, a leaf goes on as it is
+        level = level.withColumn("_inner", F.when(is_nested(), F.col("_v")))
+        parts = df.sparkSession.tvf.variant_explode_outer(F.col("_inner").outer()).toDF("_pos", "_key", "_part")
         name = F.coalesce("_key", F.col("_pos").cast("string"))
-        path = F.concat("_path", name) if depth == 0 else F.concat("_path", F.lit(before), name, F.lit(after))
-        level = exploded.select(*carried, "_v", path.alias("_path"))
+        deeper = F.concat("_path", name) if depth == 0 else F.concat("_path", F.lit(before), name, F.lit(after))
+        opened, inside = F.col("_inner").isNotNull(), name.isNotNull()
+        level = level.lateralJoin(parts).where(~opened | inside).select(*carried, F.when(opened, F.col("_part")).otherwise(F.col("_v")).alias("_v"), F.when(opened, deeper).otherwise(F.col("_path")).alias("_path"))
+    kind = F.schema_of_variant("_v")
+    text = F.when(kind == "VOID", "<nil>").when(kind.isin("STRING", "BOOLEAN"), F.variant_get("_v", "$", "string")).otherwise(rounded(F.try_variant_get("_v", "$", "double")))
+    fits = F.when(is_nested(), F.raise_error(F.lit(f"JSON nests deeper than {max_depth}")).cast("string")).otherwise(text)
+    found = level.select(*carried, F.col("_path").alias("key"), fits.alias("value"))
     if expand:
         key, value = expanded(F.col("key"), F.col("value"))
         found = found.withColumns({"key": key, "value": value})

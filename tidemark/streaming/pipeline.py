@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.functions.events import stream_id
 from tidemark.schema import EVENT_SCHEMA
-from tidemark.sources.envelopes import event_columns, parse_envelope
+from tidemark.sources.envelopes import event_columns, parse_envelope, to_envelope_json
 from tidemark.sources.store import EventStore
 
 
@@ -19,11 +19,20 @@ def read_files(spark: SparkSession, folder: str, form: str = "parquet", files_pe
 
 def read_kafka(spark: SparkSession, servers: str, topic: str, **options: str) -> DataFrame:
     """Envelopes as JSON from a topic, with ids of partition and offset; needs Spark's Kafka connector."""
-    raw = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic).options(**options).load()
-    parsed = raw.select(parse_envelope(F.col("value").cast("string")).alias("e"), "partition", "offset").where(F.col("e.metadata").isNotNull())
+    return from_records(spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic).options(**options).load())
+
+
+def from_records(records: DataFrame) -> DataFrame:
+    """Event columns of a topic's records (value, partition, offset); those that can't be decoded are left out."""
+    parsed = records.select(parse_envelope(F.col("value").cast("string")).alias("e"), "partition", "offset").where(F.col("e.metadata").isNotNull())
     return parsed.select(stream_id(F.col("partition"), F.col("offset")).alias("id"), *event_columns("e")[1:])
 
 
+def to_records(events: DataFrame) -> DataFrame:
+    """Rows (key, value) for a topic: the owner, and the envelope as JSON."""
+    return events.select(F.col("foreign_id").alias("key"), to_envelope_json(events).alias("value"))
+
+
 def write_kafka(df: DataFrame, servers: str, topic: str, checkpoint: str) -> StreamingQuery:
     """Rows (value) to a topic, compressed with snappy; needs Spark's Kafka connector."""
     sink = df.writeStream.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic).option("kafka.compression.type", "snappy")
