@@ -44,20 +44,23 @@ ROUNDS = 3
 BLOCK = 128
 
 _WORD = re.compile(r"\w+")
-_known: dict[str, bytes] = {}
+
+
+class _Known(dict):
+    """word -> 8 bytes that stand for it, worked out when it is first asked for."""
+
+    def __missing__(self, word: str) -> bytes:
+        found = self[word] = hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest()
+        return found
+
+
+_known = _Known()
 
 
 def _word_hashes(words: list[str]) -> np.ndarray:
-    try:
-        packed = b"".join(map(_known.__getitem__, words))
-    except KeyError:
-        if len(_known) > 150_000:
-            _known.clear()
-        for w in words:
-            if w not in _known:
-                _known[w] = hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest()
-        packed = b"".join(map(_known.__getitem__, words))
-    return np.frombuffer(packed, np.uint64)
+    if len(_known) > 150_000:
+        _known.clear()
+    return np.frombuffer(b"".join(map(_known.__getitem__, words)), np.uint64)
 
 
 def _forget() -> None:

@@ -12,6 +12,7 @@ import json
 import os
 import re
 import unicodedata
+from struct import pack
 
 import numpy as np
 
@@ -32,43 +33,43 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in keep else chr(next(rest)) for b in range(256)]
 
 
+class _Known(dict):
+    """word -> its ids, as little-endian unsigned 32-bit integers; a word that isn't there is encoded when it is asked for."""
+
+    def __init__(self, model):
+        super().__init__()
+        self.tokenize, self.letters = model.tokenize, _byte_letters()
+
+    def __missing__(self, word: str) -> bytes:
+        letters = self.letters
+        ids = [t.id for t in self.tokenize(word if word.isascii() else "".join([letters[b] for b in word.encode()]))]  # visible ASCII stands for itself
+        found = self[word] = pack(f"<{len(ids)}I", *ids)
+        return found
+
+
 class WordTokens:
-    """Encodes texts; ``known`` has the ids of each word met, as little-endian unsigned 32-bit integers."""
+    """Encodes texts, with a cache of the words met."""
 
-    def __init__(self, path: str, cache_words: int = 150_000):
-        self.known: dict[str, bytes] = {}
+    def __init__(self, path: str, cache_words: int = 250_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
+        self.known = _Known(self.tokenizer.model)
         self.cache_words = cache_words
-        self.letters = _byte_letters()
         with open(path, encoding="utf-8") as f:
             about = json.load(f)
         steps = (about.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
         forms = [n.get("type") for n in (about.get("normalizer") or {}).get("normalizers", [])]
         self.fast = forms == ["NFC", "Replace", "Lowercase"] and steps[0].get("pattern", {}).get("Regex") == _KNOWN_SPLIT and [s.get("type") for s in steps] == ["Split", "ByteLevel"]
 
-    def _learn(self, words: list[str]) -> None:
-        letters = self.letters
-        for word in words:
-            if word not in self.known:
-                ids = [t.id for t in self.model.tokenize("".join([letters[b] for b in word.encode()]))]
-                self.known[word] = np.array(ids, "<u4").tobytes()
-
     def encode(self, text: str) -> bytes:
         """All ids of a text, packed."""
         if not self.fast or _ODD.search(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        words = _SPLIT.findall(text.lower())
-        try:
-            return b"".join(map(self.known.__getitem__, words))
-        except KeyError:
-            if len(self.known) > self.cache_words:
-                self.known.clear()
-            self._learn(words)
-            return b"".join(map(self.known.__getitem__, words))
+        if len(self.known) > self.cache_words:
+            self.known.clear()
+        return b"".join(map(self.known.__getitem__, _SPLIT.findall(text.lower())))
 
 
 _loaded: dict[str, WordTokens] = {}
