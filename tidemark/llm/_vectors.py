@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 
 #: A group of queries is cut further while it has more than so many rows and there are fewer than so many groups.
-SMALL_GROUPS, SMALL_GROUP_ROWS = 4, 512
+SMALL_GROUPS, SMALL_GROUP_ROWS = 2, 512
 
 
 def valid_rows(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:

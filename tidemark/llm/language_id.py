@@ -68,9 +68,11 @@ def bundle(texts: list[np.ndarray], dimensions: int = DIMENSIONS) -> np.ndarray:
     codes = np.concatenate(texts).astype(np.int64)
     owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
     whole = owner[2:] == owner[:-2]
-    grams, at = np.unique((codes[:-2] << 42 | codes[1:-1] << 21 | codes[2:])[whole], return_inverse=True)
-    order = np.argsort(at, kind="stable")
-    at, whose = at[order], owner[2:][whole][order]
+    code = (codes[:-2] << 42 | codes[1:-1] << 21 | codes[2:])[whole]
+    order = np.argsort(code)
+    code, whose = code[order], owner[2:][whole][order]
+    new = np.diff(code, prepend=-1) != 0
+    grams, at = code[new], np.cumsum(new) - 1
     known, place = np.unique(np.stack([grams >> 42, grams >> 21 & 0x1FFFFF, grams & 0x1FFFFF]), return_inverse=True)
     table = np.stack([letter_vector(int(c), dimensions) for c in known])
     out = np.zeros((len(texts), dimensions), np.float32)
