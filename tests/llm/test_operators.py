@@ -427,6 +427,11 @@ def test_html_of_sample_pages_with_and_without_names_of_containers():
     assert kept >= 0.97 * there and extra <= 0.03 * there
 
 
+def test_html_character_references():
+    given = "&#65;&#x42;&#0067 &#x; &#; &#xD83D; &#99999999999; &amp;#65; &eacute &nosuch; &#12354;&#x000000000000000041;"
+    assert html_main.unescaped(given) == html.unescape(given) and html_main.unescaped("&#" + "0" * 5000 + ";") == "\ufffd"
+
+
 def test_html_second_pass_drops_and_keeps():
     text = "The quick brown fox of the house was in the garden and it ran to the river with all of its friends"
     links = "<ul>" + "".join(f"<li><a href=/{i}>Another page {i}</a></li>" for i in range(3)) + "</ul>"
@@ -438,7 +443,7 @@ def test_html_second_pass_drops_and_keeps():
     assert html_main.main_text(inside) == f"{text}\n\nThen\n\n{text}\n\nThe end."
 
 
-@pytest.mark.parametrize("page", ["<p '" * 250_000, "<p =\"" * 200_000, "<p =\"'>" * 150_000, "<div>" * 100_000 + "</section>" * 60_000, "<script " * 125_000, "<script>" * 125_000, "<" * 1_000_000, "<!--" * 250_000, "<b " * 300_000 + ">", "&#" + "1" * 900_000 + ";", "&#" + "0" * 9000 + "65;"])
+@pytest.mark.parametrize("page", ["<p '" * 250_000, "<p =\"" * 200_000, "<p =\"'>" * 150_000, "<div>" * 100_000 + "</section>" * 60_000, "<script " * 125_000, "<script>" * 125_000, "<" * 1_000_000, "<!--" * 250_000, "<b " * 300_000 + ">", "&#" + "1" * 900_000 + ";", "&#" + "0" * 9000 + "65;", "&#x" + "0" * 9000 + ";"])
 def test_html_takes_linear_time_on_broken_pages(page):
     began = time.time()
     html_main.main_text(page)

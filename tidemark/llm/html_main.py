@@ -33,7 +33,7 @@ _OPENS = re.compile(r"<(?=[a-z/!?])", re.I)
 #: After so many tags whose quotes run on to the page's end, quotes are ignored.
 ODD_QUOTES = 8
 _LOWER = {c: c + 32 for c in range(65, 91)}
-_FAR_NUMBER = re.compile(r"&#(?:0*+(\d+)|x0*+([0-9a-f]+));?", re.I)
+_NUMBER = re.compile(r"&#(?:(?=\d)0*+(\d*)|x(?=[0-9a-f])0*+([0-9a-f]*));?", re.I | re.A)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden|aria-label|itemprop)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -139,11 +139,15 @@ def markup(page: str) -> Iterator[tuple[int, int, str, str, str]]:
         yield start, at, tag, found["end"] or "", found["attrs"] or ""
 
 
+def _number(m: re.Match) -> str:
+    """A numeric reference without zeros in front; U+FFFD if it has more digits than any character."""
+    digits = m[2] if m[1] is None else m[1]
+    return "\ufffd" if len(digits) > 7 else f"&#{'x' if m[1] is None else ''}{digits or 0};"
+
+
 def unescaped(text: str) -> str:
-    """Character references decoded; numbers beyond all characters stand for U+FFFD, however many digits they have."""
-    if "&" not in text:
-        return text
-    return html.unescape(_FAR_NUMBER.sub(lambda m: m[0] if len(m[1] or m[2]) < 8 and len(m[0]) < 20 else f"&#{m[1]};" if m[1] and len(m[1]) < 8 else f"&#x{m[2]};" if m[2] and len(m[2]) < 8 else "\ufffd", text))
+    """Character references decoded, however many digits they have."""
+    return html.unescape(_NUMBER.sub(_number, text)) if "&" in text else text
 
 
 def blocks_of(page: str) -> list[Block]:
