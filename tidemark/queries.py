@@ -320,6 +320,15 @@ def bad_range(spark, d):
     return spark.createDataFrame([(said,)], "error string")
 
 
+def stream_live_chart(spark, d):
+    """Owners by day and type of a stream's closed days."""
+    inbox, out = scratch.path(spark, "inbox"), scratch.path(spark, "chart")
+    event_envelopes(spark, d).drop("doc_seq").write.parquet(inbox)
+    chart = pipeline.live_chart(pipeline.read_files(spark, inbox), 86400, "1 hour").select(F.unix_seconds("window.start").alias("bucket"), "event_type", "n_unique")
+    chart.writeStream.format("parquet").option("path", out).option("checkpointLocation", scratch.path(spark, "offsets")).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(chart.schema).parquet(out)
+
+
 def kafka_records(spark, d):
     """Events to the records of a topic of four partitions and back; every seventh record is broken."""
     sent = pipeline.to_records(event_envelopes(spark, d)).withColumn("n", F.get_json_object("value", "$.metadata.id").cast("long"))
@@ -418,7 +427,7 @@ _NAMED = (
     validate_envelopes, ingest_envelope_json, lookup_segment, parse_pixel_path, cleanup_vw, postings_search, user_agent, geohash_points, chart_unique_approx,
     flatten_json, flatten_styles, stringify_values, ingest_free_json, free_json_errors, validate_envelope_json, ingest_envelope_protobuf, hit_json, value_to_text, fill_empty, cleanup_names, hash_text,
     pairs_parse, digits_check, dump_json, shuffle_values, enrich_ip, enrich_place, hit_ids, stream_ids, bad_range, store_scan, store_cached_scan, store_term_search, store_postings_search, store_search,
-    store_fetch, store_list_segments, store_lookup_segment, store_aggregate, store_aggregate_sample, stream_ingest, kafka_records,
+    store_fetch, store_list_segments, store_lookup_segment, store_aggregate, store_aggregate_sample, stream_ingest, stream_live_chart, kafka_records,
 )
 
 _BY_QUERY = {
@@ -548,6 +557,7 @@ def oracle_sql() -> dict[str, str]:
         "store_lookup_segment": f"SELECT event_id, v.edge FROM events, (VALUES ('before',-1),('first',0),('last',0)) v(edge,s) WHERE {_SEG}={FROM}//3600+v.s",
         "store_aggregate": f"WITH c AS (SELECT *, (epoch_us(ts)//1000000)//86400*86400 AS bucket FROM events WHERE event_type='click') SELECT 'total' AS part, '' AS key, '' AS value, count(*) AS n, 0::BIGINT AS n_unique FROM c UNION ALL SELECT 'facet', 'k', {_K}, count(*), 0 FROM c GROUP BY 3 UNION ALL SELECT 'facet', 'event_type', 'click', count(*), 0 FROM c UNION ALL SELECT 'possible', v.key, '', count(*), 0 FROM c, (VALUES ('k'),('bucket'),('year'),('year-month'),('year-month-day'),('year-month-day-hour'),('event_type'),('foreign_id')) v(key) GROUP BY 2 UNION ALL SELECT 'chart', CAST(bucket AS VARCHAR), event_type, count(*), count(DISTINCT user_id) FROM c GROUP BY 2,3",
         "store_aggregate_sample": f"SELECT event_id, epoch_us(ts)*1000 AS created_at_ns FROM events WHERE event_type='click' ORDER BY {_SEG}, event_id LIMIT 20",
+        "stream_live_chart": "SELECT * FROM (SELECT (epoch_us(ts)//1000000)//86400*86400 AS bucket, event_type, count(DISTINCT user_id) AS n_unique FROM events GROUP BY 1,2) WHERE (bucket+86400)*1000000 <= (SELECT max(epoch_us(ts))-3600000000 FROM events)",
         "kafka_records": f"SELECT ((user_id%4)<<56)|event_id AS id, epoch_us(ts)*1000 AS created_at_ns, event_type, {owner} AS foreign_id FROM events WHERE event_id%7<>0",
         "stream_ingest": f"SELECT event_id, epoch_us(ts)*1000 AS created_at_ns, event_type, 'user' AS foreign_type, {owner} AS foreign_id FROM events",
     }
