@@ -17,7 +17,7 @@ from tidemark.scratch import materialise, remove
 from tidemark.scratch import path as scratch_path
 
 __all__ = ["bounded_batches", "frees", "join_frequent", "map_arrow", "materialise", "mix64", "remove", "scratch_path", "slices", "unused"]
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 #: A key is frequent if it has more than so many rows, and more than the MOST_FREQUENT-th part of all: there can't be more than MOST_FREQUENT.
 LEAST_FREQUENT, MOST_FREQUENT = 1000, 10_000
 
@@ -27,7 +27,7 @@ def bounded_batches(spark: SparkSession) -> None:
 
     A setting of the session, which the operators need whenever their results are read; it stays.
     """
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: int, max_bytes: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:

@@ -58,7 +58,7 @@ _known = _Known()
 
 
 def _word_hashes(words: list[str]) -> np.ndarray:
-    if len(_known) > 150_000:
+    if len(_known) > 120_000:
         _known.clear()
     return np.frombuffer(b"".join(map(_known.__getitem__, words)), np.uint64)
 
@@ -166,7 +166,7 @@ def _profile(bands: int, rows: int, n: int, weighted: bool):
 
     @frees(_forget)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 1, 2 << 20):
+        for batch in slices(batches, 1, 1 << 20):
             nodes, sets, weights = [], [], []
             for text in batch.column(1).to_pylist():
                 text = text or ""

@@ -50,17 +50,16 @@ class _Known(dict):
 class WordTokens:
     """Encodes texts, with a cache of the words met."""
 
-    def __init__(self, path: str, cache_words: int = 250_000):
+    def __init__(self, path: str, cache_words: int = 120_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known = _Known(self.tokenizer.model)
         self.cache_words = cache_words
-        with open(path, encoding="utf-8") as f:
-            about = json.load(f)
-        steps = (about.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
-        forms = [n.get("type") for n in (about.get("normalizer") or {}).get("normalizers", [])]
+        splits, forms = (json.loads(part.__getstate__()) if part else {} for part in (self.tokenizer.pre_tokenizer, self.tokenizer.normalizer))
+        steps = splits.get("pretokenizers") or [{}]
+        forms = [n.get("type") for n in forms.get("normalizers", [])]
         self.fast = forms == ["NFC", "Replace", "Lowercase"] and steps[0].get("pattern", {}).get("Regex") == _KNOWN_SPLIT and [s.get("type") for s in steps] == ["Split", "ByteLevel"]
 
     def encode(self, text: str) -> bytes:
