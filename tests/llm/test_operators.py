@@ -538,3 +538,16 @@ def test_packed_sequences_are_written_by_length(spark, tmp_path):
     packing.write_buckets(packing.pack(docs(spark, ODD), WORDS), str(tmp_path / "b"))
     lengths = {int(p.name.split("=")[1]): {len(x) // 4 for x in pq.read_table(p)["ids"].to_pylist()} for p in (tmp_path / "b").iterdir() if p.is_dir()}
     assert lengths and all(found == {1 << bucket} for bucket, found in lengths.items())
+
+
+def test_a_task_of_another_operator_empties_caches():
+    emptied = []
+    first, second = (lambda: emptied.append(1)), (lambda: emptied.append(2))
+    one, two = (_common.frees(f)(lambda batches: (b for b in batches)) for f in (first, second))
+    assert list(one([1, 2])) == [1, 2] and not emptied
+    list(one([3]))
+    assert not emptied
+    list(two([4]))
+    assert emptied == [1]
+    list(_common.frees()(lambda batches: iter(batches))([5]))
+    assert emptied == [1, 2]

@@ -45,9 +45,21 @@ def slices(batches: Iterator[pa.RecordBatch], column: int, max_bytes: int = BATC
             at = upto
 
 
+_held: set[Callable[[], None]] = set()
+
+
+def _begin(caches: tuple[Callable[[], None], ...]) -> None:
+    others = [empty for empty in _held if empty not in caches]
+    for empty in others:
+        empty()
+    if others:
+        gc.collect()
+    _held.clear()
+    _held.update(caches)
+
+
 def _give_back() -> None:
     """Return freed memory to the machine: Arrow's pool and glibc keep it otherwise."""
-    gc.collect()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
@@ -56,21 +68,20 @@ def _give_back() -> None:
 
 
 def frees(*caches: Callable[[], None]) -> Callable:
-    """Decorates what a task does with its batches: when the task ends, a worker's caches are emptied.
+    """Decorates what a task does with its batches; ``caches`` are the functions that empty what it keeps in its worker.
 
-    Spark keeps workers from one operator to the next, idle ones too, so what they hold would add up.
-    Loading a vocabulary again costs a task about 0.1 s. ``caches`` have to be functions of a module:
-    a dict's own method would be sent to the worker with a copy of the dict.
+    Spark keeps Python workers from task to task and from operator to operator. An operator's caches stay for its next
+    task; a task of another operator empties them first, so that they don't add up. ``caches`` have to be functions of
+    a module: anything else, a dict's own method say, would be sent to the worker with a copy of the dict.
     """
 
     def wrap(function: Callable) -> Callable:
         @wraps(function)
         def run(batches: Iterator, *given, **options) -> Iterator:
+            _begin(caches)
             try:
                 yield from function(batches, *given, **options)
             finally:
-                for empty in caches:
-                    empty()
                 _give_back()
 
         return run
