@@ -32,7 +32,6 @@ _PLAIN_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<tag>[a-z][^\s/>]*
 _OPENS = re.compile(r"<(?=[a-z/!?])", re.I)
 #: After so many tags whose quotes run on to the page's end, quotes are ignored.
 ODD_QUOTES = 8
-_LOWER = {c: c + 32 for c in range(65, 91)}
 _NUMBER = re.compile(r"&#(?:(?=\d)0*+(\d*)|x(?=[0-9a-f])0*+([0-9a-f]*));?", re.I | re.A)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden|aria-label|itemprop)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _WORD = re.compile(r"[^\W\d_]+")
@@ -63,6 +62,7 @@ HEADINGS = {f"h{level}": level for level in range(1, 7)}
 #: An opening tag of the first kind ends an open element of the second.
 CLOSED_BY = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option"}
 
+_RAW_END = {tag: re.compile(f"</{tag}", re.I | re.A) for tag in RAW}
 LINK_DENSITY = 0.4
 LONG = 90
 #: An element within the article that its name puts aside stays if it has a block of so many characters; so long a block counts where a page has no known stop words.
@@ -103,18 +103,13 @@ def _boilerplate(tag: str, attrs: str, inside: bool) -> bool | None:
     return verdict
 
 
-def _ascii_lower(page: str) -> str:
-    """A-Z in lower case; no character changes its place."""
-    return page.translate(_LOWER)
-
-
 def markup(page: str) -> Iterator[tuple[int, int, str, str, str]]:
     """(start, end, tag, "/" or "", attributes) of comments, declarations (without a tag) and tags, in order and in linear time.
 
     Elements whose content isn't text are one piece up to their end tag, or to the page's end. A tag that the page
     ends in goes up to there.
     """
-    last, lower = page.rfind(">") + 1, ""
+    last = page.rfind(">") + 1
     pattern, odd, at = _MARKUP, 0, 0
     while m := _OPENS.search(page, at):
         start = m.start()
@@ -132,9 +127,8 @@ def markup(page: str) -> Iterator[tuple[int, int, str, str, str]]:
             continue
         at, tag = found.end(), (found["tag"] or "").lower()
         if tag in RAW and not found["end"] and not found["attrs"].endswith("/"):
-            lower = lower or _ascii_lower(page)
-            closes = lower.find(f"</{tag}", at)
-            at = len(page) if closes < 0 else (lower.find(">", closes) + 1 or len(page))
+            closes = _RAW_END[tag].search(page, at)
+            at = (page.find(">", closes.end()) + 1 if closes else 0) or len(page)
             tag = ""
         yield start, at, tag, found["end"] or "", found["attrs"] or ""
 
